@@ -65,12 +65,18 @@ def remove_stop_words(tokens, stop_words=None) -> Column:
 
 
 def ngrams(tokens, n: int = 3) -> Column:
-    """Word n-grams joined by a space; [] when there are fewer than n tokens."""
+    """Word n-grams joined by a space; [] when there are fewer than n tokens.
+
+    Built from n shifted slices of equal length zipped together, so the
+    token array is only read outside lambdas: O(tokens) per row.  (An
+    index loop that slices the array inside a lambda would re-evaluate an
+    inlined tokenizer once per position.)
+    """
     toks = as_col(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(toks) - F.lit(n - 1)),
-        lambda i: F.array_join(F.slice(toks, i, n), " "),
-    )
+    k = F.size(toks) - F.lit(n - 1)
+    grams = F.slice(toks, 1, k)
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(toks, j + 1, k), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
