@@ -19,9 +19,34 @@ from pyspark.sql import functions as F
 from starlens.operators.joins import hot_keys, salted_join
 
 
-def term_frequencies(df: DataFrame, id_col: str, terms_col: str, term: str = "term") -> DataFrame:
-    """(id, term, tf): occurrences of each term in each document."""
-    pairs = df.select(id_col, F.explode(terms_col).alias(term))
+def explode_array(arr) -> F.Column:
+    """``explode`` that evaluates its array once per row.
+
+    Under whole-stage codegen, exploding the result of a UDF or of an
+    interpreted higher-order function directly re-evaluates it for every
+    element (quadratic in the document length).  Passing it through
+    ``slice`` first materialises the array once.
+    """
+    a = F.col(arr) if isinstance(arr, str) else arr
+    return F.explode(F.slice(a, 1, F.size(a)))
+
+
+def term_pairs(df: DataFrame, id_col: str, terms_col, term: str = "term",
+               exclude=None) -> DataFrame:
+    """(id, term) for every token; ``exclude`` drops listed terms after the
+    explode (a hash-set ``InSet`` filter, compiled code)."""
+    pairs = df.select(id_col, explode_array(terms_col).alias(term))
+    return pairs.filter(~F.col(term).isin(list(exclude))) if exclude else pairs
+
+
+def term_frequencies(df: DataFrame, id_col: str, terms_col, term: str = "term",
+                     exclude=None) -> DataFrame:
+    """(id, term, tf): occurrences of each term in each document.
+
+    When ``df`` is hash-partitioned by ``id_col`` (see ``tables.spread``)
+    this aggregation needs no shuffle.
+    """
+    pairs = term_pairs(df, id_col, terms_col, term, exclude)
     return pairs.groupBy(id_col, term).agg(F.count(F.lit(1)).alias("tf"))
 
 

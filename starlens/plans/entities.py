@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.sources.tables import read_table
+from starlens.sources.tables import read_table, spread
 
 # States left out of the state x bucket chart, and the
 # "not elite" sentinel of the user table.
@@ -76,12 +76,12 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """All documents (whole texts)."""
-    return read_table(spark, d, "documents", "doc_id", "text", "lang")
+    """All documents (whole texts), spread over the cores for text work."""
+    return spread(read_table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id")
 
 
 def labelled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a 0/1 quality label (double, as MLlib expects)."""
-    docs = read_table(spark, d, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), "doc_id")
     lab = read_table(spark, d, "labels", "doc_id", "quality")
     return docs.join(lab, "doc_id", "inner").select("doc_id", "text", F.col("quality").cast("double").alias("label"))

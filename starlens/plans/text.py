@@ -133,12 +133,17 @@ def token_count(spark, d):
 
 
 # --- T3, T5: trigrams and vocabulary -------------------------------------------------
+def trigrams(spark, d):
+    toks = E.texts(spark, d).select("doc_id", text.tokenize("text").alias("t"))
+    return text.with_ngrams(toks, "t", "g", 3).select("doc_id", "g")
+
+
 @register("trigram_counts", f"""
 SELECT doc_id, len(g) AS n_trigrams, len(list_distinct(g)) AS n_distinct
   FROM (SELECT doc_id, {sql_trigrams(sql_tokens('text'))} AS g FROM documents)
 """)
 def trigram_counts(spark, d):
-    g = E.texts(spark, d).select("doc_id", text.ngrams(text.tokenize("text"), 3).alias("g"))
+    g = trigrams(spark, d)
     return g.select("doc_id", F.size("g").alias("n_trigrams"), F.size(F.array_distinct("g")).alias("n_distinct"))
 
 
@@ -152,8 +157,7 @@ SELECT term, count, df, CAST(row_number() OVER (ORDER BY count DESC, term) - 1 A
   FROM s ORDER BY count DESC, term LIMIT {VOCAB_TOP}
 """)
 def vocabulary_top(spark, d):
-    g = E.texts(spark, d).select("doc_id", text.ngrams(text.tokenize("text"), 3).alias("g"))
-    return terms.vocabulary(g, "doc_id", "g", vocab_size=VOCAB_TOP)
+    return terms.vocabulary(trigrams(spark, d), "doc_id", "g", vocab_size=VOCAB_TOP)
 
 
 # --- T6: IDF and TF-IDF ------------------------------------------------------------------
@@ -165,8 +169,8 @@ SQL_IDF = f"""(SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents)
 
 def _tf_idf(spark, d):
     docs = E.texts(spark, d)
-    toks = docs.select("doc_id", clean_tokens("text").alias("t"))
-    tf = terms.term_frequencies(toks, "doc_id", "t")
+    toks = docs.select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
+    tf = terms.term_frequencies(toks, "doc_id", "t", exclude=text.STOP_WORDS_EN)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     return tf, terms.idf_table(tf, n_docs)
 
