@@ -59,6 +59,10 @@ def vocabulary(df: DataFrame, id_col: str, terms_col: str, vocab_size: int = 1 <
                min_df: float = 1.0, term: str = "term") -> DataFrame:
     """Top ``vocab_size`` terms by total count (ties by term), with their index.
 
+    CountVectorizer's vocabulary has the same counts in the same order but
+    leaves ties in RDD order; breaking them by term makes the vocabulary
+    (and the feature indices) reproducible.
+
     ``min_df`` >= 1 is a document count, below 1 a fraction of documents
     (CountVectorizer's rule).  The index is the rank in the vocabulary.
     """
