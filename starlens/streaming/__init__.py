@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analyses this library rebuilds are batch jobs over static review
+dumps: there is no stream source, watermark, window over event time or
+state anywhere in them, so no streaming operator is provided.  Every
+operator here is a plain DataFrame function, and the aggregate-only ones
+(``profile.group_count``, ``profile.category_histogram``,
+``shares.group_share`` before its window) can be applied to a streaming
+DataFrame unchanged if a caller needs incremental counts.
+"""
