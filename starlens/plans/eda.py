@@ -45,7 +45,8 @@ def _buckets_values_sql(name="StarBucket"):
 def share_by_group(spark, d):
     b = E.businesses(spark, d).withColumn("StarBucket", star_bucket("stars"))
     out = shares.group_share(b, "state", "StarBucket", exclude=E.EXCLUDED_STATES)
-    return out.select("state", "StarBucket", "count", F.round("percentage", R6).alias("percentage"))
+    return (out.select("state", "StarBucket", "count", F.round("percentage", R6).alias("percentage"))
+            .orderBy("state", "StarBucket"))
 
 
 register("share_by_group", f"""
