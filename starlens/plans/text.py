@@ -167,12 +167,16 @@ SQL_IDF = f"""(SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents)
    FROM {SQL_TF} GROUP BY term)"""
 
 
-def _tf_idf(spark, d):
+def _tf_idf(spark, d, persist: bool = False):
     docs = E.texts(spark, d)
     toks = docs.select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
     tf = terms.term_frequencies(toks, "doc_id", "t", exclude=text.STOP_WORDS_EN)
+    if persist:
+        tf = tf.persist()
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    return tf, terms.idf_table(tf, n_docs)
+    idf = terms.idf_table(tf, n_docs)
+    # idf (one row per term) feeds the small side, the hot-key list and its total
+    return tf, (idf.persist() if persist else idf)
 
 
 @register("idf_terms", f"SELECT term, df, round(idf, {R6}) AS idf FROM {SQL_IDF}")
@@ -189,7 +193,9 @@ SELECT doc_id, term, tf, round(tfidf, {R6}) AS tfidf, rank FROM (
  WHERE rank <= 5
 """)
 def tfidf_top_per_doc(spark, d):
-    tf, idf = _tf_idf(spark, d)
+    # tf and idf feed several branches (big side, small side, hot-key list,
+    # totals): cache them once instead of re-tokenizing the corpus per branch.
+    tf, idf = _tf_idf(spark, d, persist=True)
     weights = terms.tfidf(tf, idf, "doc_id")
     top = terms.top_terms_per_doc(weights, "doc_id", "tfidf", 5)
     return top.select("doc_id", "term", "tf", F.round("tfidf", R6).alias("tfidf"), "rank")
