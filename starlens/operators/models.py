@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlens.operators import evaluate
+from starlens.session import ensure_checkpoint_dir
 
 DEFAULT_FEATURES = 1 << 18
 
@@ -54,11 +55,28 @@ def lr_pipeline(text_col: str = "text", label_col: str = "label", num_features:
 
 
 def fit(pipeline: Pipeline, train: DataFrame, key: str) -> PipelineModel:
+    """Fit feature stages, cut lineage, then fit the final estimator.
+
+    The iterative solver runs one job per iteration, and every task
+    carries the RDD lineage of its input, which includes the fitted
+    feature stages (a vocabulary of up to ``vocabSize`` terms, an IDF
+    vector of ``numFeatures`` doubles).  A reliable ``checkpoint`` of just
+    the features and label (to the shared ``spark.checkpoint.dir``) makes
+    each iteration read plain files instead of re-shipping those models.
+    """
+    ensure_checkpoint_dir(train.sparkSession)
+    stages = pipeline.getStages()
+    estimator = stages[-1]
     data = stable_input(train, key).persist()
     try:
-        return pipeline.fit(data)
+        features = Pipeline(stages=stages[:-1]).fit(data)
+        cols = [estimator.getFeaturesCol()]
+        if estimator.hasParam("labelCol"):
+            cols.append(estimator.getLabelCol())
+        x = features.transform(data).select(*cols).checkpoint(eager=True)
     finally:
         data.unpersist()
+    return PipelineModel(stages=list(features.stages) + [estimator.fit(x)])
 
 
 def with_probabilities(pred: DataFrame) -> DataFrame:

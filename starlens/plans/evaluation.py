@@ -73,7 +73,7 @@ WITH c AS (SELECT count_if(label = 1.0 AND prediction = 1.0) AS tp, count_if(lab
                   count(*) AS n FROM {SQL_RULE}),
      m AS (SELECT *, (tp + tn)::DOUBLE / n AS accuracy, tp::DOUBLE / nullif(tp + fp, 0) AS precision,
                   tp::DOUBLE / nullif(tp + fn, 0) AS recall FROM c)
-SELECT tp, fp, tn, fn, n, round(accuracy, {R6}) AS accuracy, round(precision, {R6}) AS precision,
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn, n, round(accuracy, {R6}) AS accuracy, round(precision, {R6}) AS precision,
        round(recall, {R6}) AS recall, round(2 * precision * recall / nullif(precision + recall, 0), {R6}) AS f1 FROM m
 """)
 def binary_metrics(spark, d):

@@ -105,7 +105,7 @@ def strip_punct(spark, d):
 
 
 @register("tokenize", f"""
-SELECT doc_id, len(t) AS n_tokens, array_to_string(t, '|') AS tokens
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, '|') AS tokens
   FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)
 """)
 def tokenize(spark, d):
@@ -114,7 +114,7 @@ def tokenize(spark, d):
 
 
 @register("stopwords", f"""
-SELECT doc_id, len(k) AS n_kept, array_to_string(k, '|') AS kept
+SELECT doc_id, CAST(len(k) AS INTEGER) AS n_kept, array_to_string(k, '|') AS kept
   FROM (SELECT doc_id, {sql_no_stop(sql_tokens('text'))} AS k FROM documents)
 """)
 def stopwords(spark, d):
@@ -139,7 +139,7 @@ def trigrams(spark, d):
 
 
 @register("trigram_counts", f"""
-SELECT doc_id, len(g) AS n_trigrams, len(list_distinct(g)) AS n_distinct
+SELECT doc_id, CAST(len(g) AS INTEGER) AS n_trigrams, CAST(len(list_distinct(g)) AS INTEGER) AS n_distinct
   FROM (SELECT doc_id, {sql_trigrams(sql_tokens('text'))} AS g FROM documents)
 """)
 def trigram_counts(spark, d):
@@ -186,7 +186,7 @@ def idf_terms(spark, d):
 
 
 @register("tfidf_top_per_doc", f"""
-SELECT doc_id, term, tf, round(tfidf, {R6}) AS tfidf, rank FROM (
+SELECT doc_id, term, tf, round(tfidf, {R6}) AS tfidf, CAST(rank AS INTEGER) AS rank FROM (
   SELECT t.doc_id, t.term, t.tf, t.tf * i.idf AS tfidf,
          row_number() OVER (PARTITION BY t.doc_id ORDER BY t.tf * i.idf DESC, t.term) AS rank
     FROM {SQL_TF} t JOIN {SQL_IDF} i ON t.term = i.term)
