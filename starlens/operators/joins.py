@@ -23,15 +23,23 @@ from pyspark.sql import functions as F
 
 
 def prefixed_inner_join(left: DataFrame, right: DataFrame, key: str,
-                        left_prefix: str, right_prefix: str) -> DataFrame:
+                        left_prefix: str, right_prefix: str, skew_safe: bool = False,
+                        max_hot: int = 1000, salts: int = 32) -> DataFrame:
     """Inner equi-join on ``key``; every other column gets its side's prefix.
 
     Keeps one unambiguous key column and no duplicated names, so later
-    references to a column cannot be ambiguous.
+    references to a column cannot be ambiguous.  With ``skew_safe`` the
+    left (big) side's keys are counted first (a key-only, partially
+    aggregated pass) and keys holding >= 1/max_hot of its rows are salted.
     """
     lcols = [F.col(c).alias(left_prefix + c) for c in left.columns if c != key]
     rcols = [F.col(c).alias(right_prefix + c) for c in right.columns if c != key]
-    return left.select(key, *lcols).join(right.select(key, *rcols), key, "inner")
+    lsel, rsel = left.select(key, *lcols), right.select(key, *rcols)
+    if not skew_safe:
+        return lsel.join(rsel, key, "inner")
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(counts, key, "_n", max_hot)
+    return salted_join(lsel, rsel, key, hot, salts=salts)
 
 
 def hot_keys(key_counts: DataFrame, key: str, count_col: str, max_hot: int = 1000) -> DataFrame:
