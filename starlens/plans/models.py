@@ -20,7 +20,12 @@ SLICE_LO, SLICE_HI = 100, 200
 _FITTED: dict = {}
 
 
+def _app(spark) -> str:
+    return spark.sparkContext.applicationId
+
+
 def _memo(key, build):
+    """Reuse a fit across the queries of one application and data folder."""
     if key not in _FITTED:
         _FITTED[key] = build()
     return _FITTED[key]
@@ -34,7 +39,7 @@ def _lr_model(spark, d):
     def build():
         train, _ = split.keyed_split(_labelled(spark, d), "doc_id", LR_SEED, 0.7)
         return models.fit(models.lr_pipeline(), train, "doc_id")
-    return _memo(("lr", id(spark), d), build)
+    return _memo(("lr", _app(spark), d), build)
 
 
 @register("lr_metrics")
@@ -64,7 +69,7 @@ def _trigram_model(spark, d):
         data = _labelled(spark, d).withColumnRenamed("label", "label_raw")
         train, _ = split.keyed_split(data, "doc_id", TRIGRAM_SEED, 0.7)
         return models.fit(models.svm_trigram_pipeline(), train, "doc_id")
-    return _memo(("svm3", id(spark), d), build)
+    return _memo(("svm3", _app(spark), d), build)
 
 
 @register("svm_trigram")
@@ -85,7 +90,7 @@ def _clustered(spark, d):
         data = _labelled(spark, d)
         model = models.fit(models.kmeans_pipeline(k=2, seed=1234), data, "doc_id")
         return model
-    model = _memo(("km", id(spark), d), build)
+    model = _memo(("km", _app(spark), d), build)
     return models.relabel_by_size(model.transform(_labelled(spark, d)))
 
 
