@@ -34,12 +34,12 @@ DEFAULT_FEATURES = 1 << 18
 def stable_input(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Fixed partitioning and row order for a reproducible fit.
 
-    One partition per core by default (``defaultParallelism``, the total
-    executor cores on a cluster): every solver iteration is one task per
-    partition, so more partitions than cores only add per-iteration
-    overhead.
+    By default at least one partition per core (``defaultParallelism``)
+    and never fewer than the input already has, so partition size keeps
+    following the data size on a large cluster.  Every solver iteration is
+    one task per partition.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
