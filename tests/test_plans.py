@@ -57,3 +57,24 @@ def test_skew_safe_join_equals_plain_join(spark):
     b = prefixed_inner_join(big, small, "k", "l_", "r_")
     assert a.count() == b.count() == 5000
     assert a.exceptAll(b).count() == 0
+
+
+def test_hot_key_list_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from starlens.operators.joins import hot_keys
+
+    # 2000 keys with a heavy-tailed count: whatever the data, at most max_hot keys qualify.
+    counts = spark.range(2000).select(F.col("id").alias("k"), (F.lit(100000) / (F.col("id") + 1)).cast("long").alias("n"))
+    for max_hot in (1, 10, 100):
+        assert hot_keys(counts, "k", "n", max_hot).count() <= max_hot
+
+
+def test_spread_only_when_scan_is_narrow(spark, sf_small):
+    from starlens.sources.tables import read_table, spread
+
+    docs = read_table(spark, sf_small, "documents", "doc_id", "text")
+    wide = docs.repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(wide, "doc_id") is wide
+    narrow = docs.coalesce(1)
+    assert spread(narrow, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
