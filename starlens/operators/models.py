@@ -34,15 +34,25 @@ DEFAULT_FEATURES = 1 << 18
 def stable_input(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Fixed partitioning and row order for a reproducible fit.
 
-    By default at least one partition per core (``defaultParallelism``)
-    and never fewer than the input already has, so partition size keeps
-    following the data size on a large cluster.  Every solver iteration is
-    one task per partition.
+    By default one partition per core (``defaultParallelism``), or more when
+    Catalyst's size estimate of the input calls for it (~128 MB each), so
+    partition size follows the data on a large cluster and does not depend
+    on ``spark.sql.shuffle.partitions``.  Every solver iteration is one
+    task per partition.
     """
-    n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    n = partitions or fit_partitions(df)
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
+def fit_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001  (no estimate: one partition per core)
+        return cores
+    return max(cores, -(-size // target_bytes))
+
+
 # --- M1 / M2: TF-IDF logistic regression ---------------------------------------------
 def lr_pipeline(text_col: str = "text", label_col: str = "label", num_features: int = DEFAULT_FEATURES,
                 max_iter: int = 10, reg_param: float = 0.001) -> Pipeline:
