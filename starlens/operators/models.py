@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlens.operators import evaluate
-from starlens.session import ensure_checkpoint_dir
+from starlens.session import ensure_checkpoint_dir, size_partitions
 
 DEFAULT_FEATURES = 1 << 18
 
@@ -44,13 +44,8 @@ def stable_input(df: DataFrame, key: str, partitions: int | None = None) -> Data
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
-def fit_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001  (no estimate: one partition per core)
-        return cores
-    return max(cores, -(-size // target_bytes))
+def fit_partitions(df: DataFrame) -> int:
+    return size_partitions(df)
 
 
 # --- M1 / M2: TF-IDF logistic regression ---------------------------------------------

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.session import ensure_checkpoint_dir
+from starlens.session import ensure_checkpoint_dir, size_partitions
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 
@@ -23,7 +23,7 @@ _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or size_partitions(df, cap=int(spark.conf.get("spark.sql.shuffle.partitions")))
     mid = F.monotonically_increasing_id()
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)

@@ -56,3 +56,18 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (visible to all executors)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "starlens", *parts])
+
+
+def size_partitions(df, target_bytes: int = 128 << 20, cap: int | None = None) -> int:
+    """Partition count from Catalyst's size estimate of ``df``.
+
+    At least one per core, about ``target_bytes`` each, at most ``cap``.
+    Independent of ``spark.sql.shuffle.partitions`` unless used as the cap.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        n = max(cores, -(-size // target_bytes))
+    except Exception:  # noqa: BLE001  (no estimate: one partition per core)
+        n = cores
+    return min(n, cap) if cap else n
