@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.llm import decontam, line_dedup, packing, url_rules, warc
+from starlens.llm import decontam, html_extract, lang_id, line_dedup, lm_score, packing, url_rules, warc
 from starlens.llm.scratch import Scratch
 
 TOKENIZERS = os.environ.get("STARLENS_TOKENIZERS", "/opt/tokenizers")
@@ -67,6 +67,34 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _remainder(k: int):
+    """crc32 of doc_id as text, modulo ``k``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % k
+
+
+@query("op4_langid")
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(_remainder(3) != 1).select("doc_id", "text", "lang"))
+    out = lang_id.predict(docs.select("doc_id", (_remainder(3) == 1).alias("held_out"), "text"), model, keep_text=False)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_lattice")
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text, learned from four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.score_texts(docs, _remainder(5) == 1, f"{TOKENIZERS}/piece_bpe_32k.model", Scratch(spark, "op6"))
+
+
+@query("op9_html")
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
