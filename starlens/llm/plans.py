@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.llm import decontam, html_extract, lang_id, line_dedup, lm_score, packing, url_rules, warc
+from starlens.llm import decontam, html_extract, lang_id, line_dedup, lm_score, near_dup, packing, url_rules, warc
 from starlens.llm.scratch import Scratch
 
 TOKENIZERS = os.environ.get("STARLENS_TOKENIZERS", "/opt/tokenizers")
@@ -60,6 +60,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("status") == "ok", F.col("record_type")).otherwise(F.col("status")).alias("record_type"), "refers_to")
 
 
+@query("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over five-word shingles at 85 per cent."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, Scratch(spark, "op2"))
+
+
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
