@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.llm import decontam, html_extract, lang_id, line_dedup, lm_score, near_dup, packing, url_rules, warc
+from starlens.llm import decontam, embed_dup, html_extract, lang_id, line_dedup, lm_score, near_dup, packing, url_rules, warc
 from starlens.llm.scratch import Scratch
 
 TOKENIZERS = os.environ.get("STARLENS_TOKENIZERS", "/opt/tokenizers")
@@ -159,3 +159,20 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS t(host, path, verdict)")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)\
         .select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_embed", """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT a AS n, b AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) c ON c.a = vec_id
+     LEFT JOIN (SELECT n, min(m) AS low FROM r GROUP BY n) k ON k.n = vec_id""")
+def op10_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.98."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embed_dup.near_vectors(vectors, Scratch(spark, "op10"))
