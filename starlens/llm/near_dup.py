@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     stars = scratch.save(_pairs_by_prefix(reps.select(F.col("doc_id").alias("rep"), "sig"), t, scratch), "stars")
 
     wanted = stars.select(F.col("rep").alias("w")).union(stars.select("pivot")).distinct()
-    texts = rows.join(wanted, rows["doc_id"] == wanted["w"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    # texts are dealt by id at every size; a broadcast of the ids would have no bound
+    texts = rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["w"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = scratch.save(texts.mapInArrow(_full_sets, "rep long, n long, sig array<int>, shingles binary"), "sets")
 
     # first round: every document against its pivots
