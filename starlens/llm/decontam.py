@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_col: s
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("row"),
                        F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
                        F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
-    out = base.join(hits, same_row(base, hits, "id", "th"), "left")
+    out = base.join(hits.hint("merge"), same_row(base, hits, "id", "th"), "left")
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], "n_words",
                       F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),

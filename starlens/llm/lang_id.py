@@ -255,7 +255,8 @@ def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     raw = F.encode("text", "utf-8")
     room = F.greatest(F.octet_length("text") - window, F.lit(0)) + 1
     starts = [F.pmod(F.xxhash64("id", F.lit(k)), room.cast("long")).cast("int") + 1 for k in range(per_doc)]
-    rows = (texts.where(F.octet_length("text") > 0).join(chosen, "id")
+    # at most per_lang rows a language, and the model has an output for each language
+    rows = (texts.where(F.octet_length("text") > 0).join(F.broadcast(chosen), "id")
             .select("id", "lang", F.array(*[F.substring(raw, s, F.lit(window)) for s in starts]).alias("w")).collect())
     langs = sorted({r["lang"] for r in rows})
     x, y = [], []

@@ -58,10 +58,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs).select("hash", "keep")
     )
     drops = (
-        occurrences.join(shared, "hash").where(~F.col("id").eqNullSafe(F.col("keep")))
+        occurrences.join(shared.hint("merge"), "hash").where(~F.col("id").eqNullSafe(F.col("keep")))
         .groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
     )
-    joined = base.join(drops, same_row(base, drops, "id", "th"), "left")
+    joined = base.join(drops.hint("merge"), same_row(base, drops, "id", "th"), "left")
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(base["lines"]) - 1), F.col("drop")),
         lambda i: F.get(base["lines"], i),
