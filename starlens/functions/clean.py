@@ -45,10 +45,6 @@ def try_double(c) -> Column:
     return as_col(c).try_cast("double")
 
 
-def try_int(c) -> Column:
-    return as_col(c).try_cast("int")
-
-
 def try_bigint(c) -> Column:
     return as_col(c).try_cast("bigint")
 

@@ -15,8 +15,7 @@ from starlens.functions._col import as_col
 # half-open interval (k-1, k]; anything at or below 1, or null, is the
 # lowest bucket.
 STAR_BUCKETS = ["1 star", "2 star", "3 star", "4 star", "5 star"]
-# Sentiment classes and their thresholds.
-SENTIMENTS = ["positive", "negative", "neutral"]
+# Sentiment thresholds.
 POSITIVE_AT = 4.0
 NEGATIVE_AT = 2.0
 

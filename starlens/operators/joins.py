@@ -9,9 +9,10 @@ real shuffle sizes and splits skewed partitions of sort-merge joins.
 share of one side (a hot business, the word "the").  Hot keys are the
 keys whose row count is at least ``total / max_hot``; there can be at
 most ``max_hot`` of them, so the broadcast hot-key list has a proven
-size bound whatever the data size.  Rows of a hot key are spread over
-``salts`` tasks on the big side and the matching small-side rows are
-replicated ``salts`` times; cold keys join unsalted.
+size bound whatever the data size.  The list carries each key's count:
+its rows are spread over ``count / rows_per_salt`` tasks on the big side
+and the matching small-side rows replicated as often; cold keys join
+unsalted.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ROWS_PER_SALT = 1_000_000
+
 
 def prefixed_inner_join(left: DataFrame, right: DataFrame, key: str,
                         left_prefix: str, right_prefix: str, skew_safe: bool = False,
-                        max_hot: int = 1000, salts: int = 32) -> DataFrame:
+                        max_hot: int = 1000, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Inner equi-join on ``key``; every other column gets its side's prefix.
 
     Keeps one unambiguous key column and no duplicated names, so later
@@ -37,36 +40,36 @@ def prefixed_inner_join(left: DataFrame, right: DataFrame, key: str,
     lsel, rsel = left.select(key, *lcols), right.select(key, *rcols)
     if not skew_safe:
         return lsel.join(rsel, key, "inner")
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = hot_keys(counts, key, "_n", max_hot)
-    return salted_join(lsel, rsel, key, hot, salts=salts)
+    return salted_join(lsel, rsel, key, hot, rows_per_salt)
 
 
 def hot_keys(key_counts: DataFrame, key: str, count_col: str, max_hot: int = 1000) -> DataFrame:
-    """Keys holding at least 1/max_hot of all rows (at most ``max_hot`` keys).
+    """Keys with at least 1/max_hot of all rows (at most ``max_hot`` keys), with their counts as ``_rows``.
 
     ``key_counts`` has one row per key with its row count on the big side.
     """
     total = key_counts.agg(F.sum(count_col)).scalar()  # scalar subquery, run once
-    return key_counts.filter(F.col(count_col) * F.lit(max_hot) >= total).select(key)
+    return key_counts.filter(F.col(count_col) * F.lit(max_hot) >= total).select(key, F.col(count_col).alias("_rows"))
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame,
-                salts: int = 32, how: str = "inner", spread_cols: Sequence[str] | None = None) -> DataFrame:
-    """Equi-join ``big`` to ``small`` on ``key`` with hot keys spread over ``salts`` tasks.
+                rows_per_salt: int = ROWS_PER_SALT, how: str = "inner",
+                spread_cols: Sequence[str] | None = None) -> DataFrame:
+    """Equi-join ``big`` to ``small`` on ``key``, a hot key in tasks of about ``rows_per_salt`` rows.
 
     ``hot`` holds at most a bounded number of keys (see ``hot_keys``) and
     is broadcast; ``spread_cols`` choose the big-side columns hashed into
     the salt (all columns by default).  ``how`` is ``inner`` or ``left``
     (left = keep big-side rows without a match).
     """
-    flag = hot.select(F.col(key), F.lit(True).alias("_hot"))
+    flag = hot.select(F.col(key), F.ceil(F.col("_rows") / F.lit(rows_per_salt)).cast("int").alias("_salts"))
     cols = [F.col(c) for c in (spread_cols or big.columns)]
     b = (big.join(F.broadcast(flag), key, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*cols), F.lit(salts))).otherwise(F.lit(0)))
-         .drop("_hot"))
+         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*cols), F.col("_salts")).cast("int"), F.lit(0)))
+         .drop("_salts"))
     s = (small.join(F.broadcast(flag), key, "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                        .otherwise(F.array(F.lit(0)))))
-         .drop("_hot"))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+         .drop("_salts"))
     return b.join(s, [key, "_salt"], how).drop("_salt")

@@ -8,7 +8,8 @@ CountVectorizer, IDF): no Python UDF anywhere.
 Determinism: the training frame is hash-partitioned by its key and
 sorted within partitions before a fit, so floating-point sums run in the
 same order on every run; k-means cluster ids are renumbered by size.
-The frame is persisted around the iterative fit and released after.
+The frame is persisted around the iterative fit and released after.  Rows
+with a null text or label are dropped before a fit.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, StopWordsRemover,
                                 StringIndexer, Tokenizer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -29,55 +29,95 @@ from starlens.operators import evaluate
 from starlens.session import ensure_checkpoint_dir, size_partitions
 
 DEFAULT_FEATURES = 1 << 18
+FIT_BYTES = 32 << 20  # of expanded input a partition: every solver iteration is one task a partition
 
 
-def stable_input(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Fixed partitioning and row order for a reproducible fit.
+def feature_stages(text_col: str = "text", stop_words: bool = False, ngram: int | None = None,
+                   num_features: int | None = DEFAULT_FEATURES, vocab_size: int | None = None,
+                   out: str = "features") -> list:
+    """Tokens, optionally without stop words or as n-grams, counted and weighted by IDF.
 
-    By default one partition per core (``defaultParallelism``), or more when
-    Catalyst's size estimate of the input calls for it (~128 MB each), so
-    partition size follows the data on a large cluster and does not depend
-    on ``spark.sql.shuffle.partitions``.  Every solver iteration is one
-    task per partition.
+    ``vocab_size`` counts over a learned vocabulary, else terms are hashed
+    into ``num_features`` slots.
     """
-    n = partitions or fit_partitions(df)
-    return df.repartition(n, key).sortWithinPartitions(key)
+    stages, col = [Tokenizer(inputCol=text_col, outputCol="tokens")], "tokens"
+    if stop_words:
+        stages.append(StopWordsRemover(inputCol=col, outputCol="kept_tokens"))
+        col = "kept_tokens"
+    if ngram:
+        stages.append(NGram(n=ngram, inputCol=col, outputCol="terms"))
+        col = "terms"
+    if vocab_size:
+        stages.append(CountVectorizer(inputCol=col, outputCol="counts", vocabSize=vocab_size))
+    else:
+        stages.append(HashingTF(inputCol=col, outputCol="counts", numFeatures=num_features))
+    return [*stages, IDF(inputCol="counts", outputCol=out)]
+
+
+# The models' hyperparameters are the defaults below.
+def lr_pipeline(text_col: str = "text", label_col: str = "label", num_features: int = DEFAULT_FEATURES,
+                max_iter: int = 10, reg_param: float = 0.001) -> Pipeline:
+    return Pipeline(stages=[*feature_stages(text_col, num_features=num_features),
+                            LogisticRegression(labelCol=label_col, maxIter=max_iter, regParam=reg_param)])
 
 
-def fit_partitions(df: DataFrame) -> int:
-    return size_partitions(df)
+def svm_unigram_pipeline(text_col: str = "text", label_col: str = "label",
+                         num_features: int = DEFAULT_FEATURES) -> Pipeline:
+    return Pipeline(stages=[*feature_stages(text_col, stop_words=True, num_features=num_features),
+                            LinearSVC(labelCol=label_col)])
 
 
-# --- M1 / M2: TF-IDF logistic regression ---------------------------------------------
-def lr_pipeline(text_col: str = "text", label_col: str = "label", num_features: int = DEFAULT_FEATURES,
-                max_iter: int = 10, reg_param: float = 0.001) -> Pipeline:
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="words"),
-        HashingTF(inputCol="words", outputCol="tfFeatures", numFeatures=num_features),
-        IDF(inputCol="tfFeatures", outputCol="features"),
-        LogisticRegression(labelCol=label_col, maxIter=max_iter, regParam=reg_param),
-    ])
+def svm_trigram_pipeline(text_col: str = "text", label_col: str = "label_raw",
+                         vocab_size: int = DEFAULT_FEATURES, max_iter: int = 50,
+                         reg_param: float = 0.3) -> Pipeline:
+    """Trigrams over a vocabulary, an indexed label and an assembled vector."""
+    return Pipeline(stages=[*feature_stages(text_col, ngram=3, vocab_size=vocab_size, out="weighted"),
+                            StringIndexer(inputCol=label_col, outputCol="label"),
+                            VectorAssembler(inputCols=["weighted"], outputCol="features"),
+                            LinearSVC(maxIter=max_iter, regParam=reg_param, labelCol="label")])
+
+
+def kmeans_pipeline(text_col: str = "text", k: int = 2, seed: int = 1234,
+                    num_features: int = DEFAULT_FEATURES) -> Pipeline:
+    return Pipeline(stages=[*feature_stages(text_col, stop_words=True, num_features=num_features),
+                            KMeans(k=k, seed=seed)])
+
+
+def stable_input(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Fixed partitioning and row order for a reproducible fit; the count follows the data alone."""
+    n = partitions or size_partitions(df, FIT_BYTES)
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
+def fit_inputs(pipeline: Pipeline, df: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose text and (raw) label are not null."""
+    needed = {s.getInputCol() for s in pipeline.getStages() if s.hasParam("inputCol") and s.getInputCol() in df.columns}
+    estimator = pipeline.getStages()[-1]
+    if estimator.hasParam("labelCol") and estimator.getLabelCol() in df.columns:
+        needed.add(estimator.getLabelCol())
+    return df.dropna(how="any", subset=sorted(needed))
 
 
 def fit(pipeline: Pipeline, train: DataFrame, key: str) -> PipelineModel:
     """Fit feature stages, cut lineage, then fit the final estimator.
 
-    The iterative solver runs one job per iteration, and every task
-    carries the RDD lineage of its input, which includes the fitted
-    feature stages (a vocabulary of up to ``vocabSize`` terms, an IDF
-    vector of ``numFeatures`` doubles).  A reliable ``checkpoint`` of just
-    the features and label (to the shared ``spark.checkpoint.dir``) makes
-    each iteration read plain files instead of re-shipping those models.
+    Rows with a null text or label are dropped first. The iterative solver
+    runs one job per iteration, and every task carries the lineage and the
+    column metadata of its input. A reliable ``checkpoint`` of just the
+    features and label (to the shared ``spark.checkpoint.dir``) cuts the
+    one; the metadata, an attribute for each vocabulary term, is taken off
+    before it.
     """
     ensure_checkpoint_dir(train.sparkSession)
     stages = pipeline.getStages()
     estimator = stages[-1]
-    data = stable_input(train, key).persist()
+    data = stable_input(fit_inputs(pipeline, train), key).persist()
     try:
         features = Pipeline(stages=stages[:-1]).fit(data)
-        cols = [estimator.getFeaturesCol()]
+        vector = estimator.getFeaturesCol()
+        cols = [F.col(vector).alias(vector, metadata={})]
         if estimator.hasParam("labelCol"):
-            cols.append(estimator.getLabelCol())
+            cols.append(F.col(estimator.getLabelCol()))
         x = features.transform(data).select(*cols).checkpoint(eager=True)
     finally:
         data.unpersist()
@@ -93,52 +133,18 @@ def with_probabilities(pred: DataFrame) -> DataFrame:
 def classifier_report(pred: DataFrame, label_col: str = "label", with_auc: bool = True) -> DataFrame:
     """Confusion counts, accuracy, precision, recall, F1 (+ exact AUC).
 
-    The AUC ranks the positive-class probability with the exact rank-sum
-    rule (``evaluate.auc``; MLlib's evaluator bins scores into 1000 bins)
-    and joins the metrics row as a scalar subquery.
+    The test set is scored once, into a checkpointed frame of label,
+    prediction and score, which both the counts and the AUC read. The AUC
+    ranks the positive-class probability with the exact rank-sum rule
+    (``evaluate.auc``; MLlib's evaluator bins scores into 1000 bins).
     """
-    m = evaluate.binary_metrics(pred, label_col, "prediction")
     if not with_auc:
-        return m
-    scored = pred.select(F.col(label_col).alias("label"), vector_to_array("probability")[1].alias("score"))
-    return m.withColumn("auc", evaluate.auc(scored).select("auc").scalar())
-
-
-def score(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
-    pred = with_probabilities(model.transform(df))
-    return pred.select(text_col, "prediction", "positive_prob", "negative_prob")
-
-
-# --- M3 / M4: linear SVMs -----------------------------------------------------------------
-def svm_unigram_pipeline(text_col: str = "text", label_col: str = "label",
-                         num_features: int = DEFAULT_FEATURES) -> Pipeline:
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="words"),
-        StopWordsRemover(inputCol="words", outputCol="words_nsw"),
-        HashingTF(inputCol="words_nsw", outputCol="rawFeatures", numFeatures=num_features),
-        IDF(inputCol="rawFeatures", outputCol="features"),
-        LinearSVC(featuresCol="features", labelCol=label_col),
-    ])
-
-
-def svm_trigram_pipeline(text_col: str = "text", label_col: str = "label_raw",
-                         vocab_size: int = DEFAULT_FEATURES, max_iter: int = 50,
-                         reg_param: float = 0.3) -> Pipeline:
-    """Tokens -> trigrams -> vocabulary counts -> IDF -> indexed label -> SVM."""
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="words"),
-        NGram(n=3, inputCol="words", outputCol="ngram"),
-        CountVectorizer(inputCol="ngram", outputCol="tf_ngram", vocabSize=vocab_size),
-        IDF(inputCol="tf_ngram", outputCol="tfidf_ngram"),
-        StringIndexer(inputCol=label_col, outputCol="label"),
-        VectorAssembler(inputCols=["tfidf_ngram"], outputCol="features"),
-        LinearSVC(maxIter=max_iter, regParam=reg_param, labelCol="label"),
-    ])
-
-
-def accuracy(pred: DataFrame, label_col: str = "label") -> float:
-    return MulticlassClassificationEvaluator(predictionCol="prediction", labelCol=label_col,
-                                             metricName="accuracy").evaluate(pred)
+        return evaluate.binary_metrics(pred, label_col, "prediction")
+    ensure_checkpoint_dir(pred.sparkSession)
+    narrow = pred.select(F.col(label_col).alias("label"), "prediction",
+                         vector_to_array("probability")[1].alias("score")).checkpoint()
+    m = evaluate.binary_metrics(narrow, "label", "prediction")
+    return m.withColumn("auc", evaluate.auc(narrow).select("auc").scalar())
 
 
 # --- M5: term weights -------------------------------------------------------------------------
@@ -149,7 +155,7 @@ class TermWeights:
     negative_class: str
 
 
-def term_weights(model: PipelineModel) -> TermWeights:
+def term_weights(spark: SparkSession, model: PipelineModel) -> TermWeights:
     """Vocabulary x SVM coefficients of a fitted trigram pipeline.
 
     The vocabulary and the coefficients already live on the driver inside
@@ -163,7 +169,7 @@ def term_weights(model: PipelineModel) -> TermWeights:
     coeffs = svm.coefficients.toArray().tolist()
     labels = list(indexer.labels)
     rows = list(zip(cv.vocabulary, coeffs))
-    frame = SparkSession.getActiveSession().createDataFrame(rows, "term string, weight double")
+    frame = spark.createDataFrame(rows, "term string, weight double")
     return TermWeights(frame, positive_class=labels[1] if len(labels) > 1 else labels[0], negative_class=labels[0])
 
 
@@ -177,15 +183,17 @@ def top_weighted_terms(weights: TermWeights, k: int = 20) -> DataFrame:
 
 
 # --- M7 / M8 / M9: k-means ---------------------------------------------------------------------
-def kmeans_pipeline(text_col: str = "text", k: int = 2, seed: int = 1234,
-                    num_features: int = DEFAULT_FEATURES) -> Pipeline:
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="tokens"),
-        StopWordsRemover(inputCol="tokens", outputCol="stopWordsRemovedTokens"),
-        HashingTF(inputCol="stopWordsRemovedTokens", outputCol="tfFeatures", numFeatures=num_features),
-        IDF(inputCol="tfFeatures", outputCol="features"),
-        KMeans(k=k, seed=seed),
-    ])
+def assign_clusters(model: PipelineModel, df: DataFrame, key: str, label_col: str = "label") -> DataFrame:
+    """``(key, label, n_tokens, prediction)``, clusters numbered 0..k-1 from the largest.
+
+    Texts are tokenized and scored once; the narrow result is checkpointed
+    and both the sizes and the rows come from it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    text_col = model.stages[0].getInputCol()
+    scored = model.transform(df.filter(F.col(text_col).isNotNull()))
+    narrow = scored.select(key, label_col, F.size("tokens").alias("n_tokens"), "prediction").checkpoint()
+    return relabel_by_size(narrow)
 
 
 def relabel_by_size(clustered: DataFrame, col: str = "prediction") -> DataFrame:
@@ -200,17 +208,17 @@ def relabel_by_size(clustered: DataFrame, col: str = "prediction") -> DataFrame:
             .drop(col).withColumnRenamed("_new", col))
 
 
-def cluster_profile(clustered: DataFrame, label_col: str = "label", tokens_col: str = "tokens") -> DataFrame:
+def cluster_profile(clustered: DataFrame, label_col: str = "label", tokens_col: str = "n_tokens") -> DataFrame:
     """Per cluster: size, average label and average token count."""
     return clustered.groupBy("prediction").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(label_col).alias("avglabel"),
-        F.avg(F.size(tokens_col)).alias("avgtoken"))
+        F.avg(tokens_col).alias("avgtoken"))
 
 
-def recluster(clustered: DataFrame, keep: int, k: int, key: str, text_col: str = "text",
+def recluster(clustered: DataFrame, df: DataFrame, keep: int, k: int, key: str,
               seed: int = 1234, num_features: int = DEFAULT_FEATURES) -> DataFrame:
-    """Keep one cluster and split it again into ``k`` clusters."""
-    base = clustered.filter(F.col("prediction") == keep).select(key, text_col, *[c for c in ("label",) if c in clustered.columns])
-    model = fit(kmeans_pipeline(text_col, k, seed, num_features), base, key)
-    return relabel_by_size(model.transform(base))
+    """Keep one cluster of ``df``'s rows and split it again into ``k`` clusters."""
+    base = df.join(clustered.filter(F.col("prediction") == keep).select(key), key, "left_semi")
+    model = fit(kmeans_pipeline(k=k, seed=seed, num_features=num_features), base, key)
+    return assign_clusters(model, base, key)

@@ -23,7 +23,7 @@ _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or size_partitions(df, cap=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or size_partitions(df)
     mid = F.monotonically_increasing_id()
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
@@ -47,9 +47,14 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], out: str = "row_ind
 
 
 def row_slice(df: DataFrame, order_cols: Sequence[str], lo: int, hi: int, out: str = "row_index") -> DataFrame:
-    """Rows whose 1-based position is in (lo, hi]."""
-    idx = with_row_index(df, order_cols, out)
-    return idx.filter((F.col(out) > lo) & (F.col(out) <= hi))
+    """Rows whose 1-based position is in (lo, hi].
+
+    Only the key columns are range-partitioned and checkpointed; the at
+    most ``hi - lo`` keys of the slice then pick the wide rows.
+    """
+    idx = with_row_index(df.select(*order_cols), order_cols, out)
+    keys = idx.filter((F.col(out) > lo) & (F.col(out) <= hi))
+    return df.join(F.broadcast(keys), list(order_cols)).select(*df.columns, out)
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],

@@ -43,7 +43,7 @@ def group_count(df: DataFrame, *cols: str, count_name: str = "count") -> DataFra
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
     """Rows minus distinct keys (a null key counts as one distinct key)."""
     k = F.col(key)
-    distinct_keys = F.count_distinct(k) + F.max(F.when(k.isNull(), 1).otherwise(0))
+    distinct_keys = F.count_distinct(k) + F.coalesce(F.max(F.when(k.isNull(), 1).otherwise(0)), F.lit(0))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         distinct_keys.cast("bigint").alias("n_distinct"),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.operators.joins import hot_keys, salted_join
+from starlens.operators.joins import ROWS_PER_SALT, hot_keys, salted_join
 
 
 def explode_array(arr) -> F.Column:
@@ -88,16 +88,16 @@ def idf_table(tf: DataFrame, n_docs, term: str = "term") -> DataFrame:
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, id_col: str, term: str = "term",
-          max_hot: int = 1000, salts: int = 32) -> DataFrame:
+          max_hot: int = 1000, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(id, term, tf, idf, tfidf).
 
     The join key ``term`` is skewed by nature; terms whose document
     frequency is at least 1/max_hot of all (document, term) pairs are
-    salted over ``salts`` tasks.  ``idf.df`` is exactly the number of
+    salted by their counts.  ``idf.df`` is exactly the number of
     big-side rows per term, so no extra pass is needed to find them.
     """
     hot = hot_keys(idf.select(term, "df"), term, "df", max_hot)
-    joined = salted_join(tf, idf.select(term, "idf"), term, hot, salts=salts, spread_cols=[id_col])
+    joined = salted_join(tf, idf.select(term, "idf"), term, hot, rows_per_salt, spread_cols=[id_col])
     return joined.withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 

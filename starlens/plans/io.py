@@ -24,12 +24,27 @@ def csv_roundtrip(spark, d):
                       F.col("n_chars").try_cast("bigint").alias("n_chars"))
 
 
-@register("csv_bad_rows")
+@register("csv_padded", """
+SELECT event_id, '  ' || event_type || ' ' AS padded FROM events
+""")
+def csv_padded(spark, d):
+    """Values with white space at their ends survive the write and the header-derived read."""
+    path = shared_path(spark, "csv", f"padded-{uuid.uuid4().hex}")
+    events = read_table(spark, d, "events", "event_id", "event_type")
+    csv.write_csv(events.select("event_id", F.concat(F.lit("  "), "event_type", F.lit(" ")).alias("padded")), path)
+    return csv.read_csv(spark, path).select(F.col("event_id").try_cast("bigint").alias("event_id"), "padded")
+
+
+@register("csv_bad_rows", """
+SELECT CASE WHEN event_id % 10 IN (3, 7) THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1
+""")
 def csv_bad_rows(spark, d):
-    """Conversation lines read as two-field CSV: lines with another field
-    count are kept apart as malformed records, none is lost."""
-    path = shared_path(spark, "csv", f"conversations-{uuid.uuid4().hex}")
-    read_table(spark, d, "conversations", "text").write.mode("overwrite").text(path)
-    good, bad = csv.read_csv_checked(spark, path, csv.string_schema(["a", "b"]), multiline=False)
+    """Two-field lines made of a table's columns, two of ten with a field too many or too few: none is lost."""
+    path = shared_path(spark, "csv", f"lines-{uuid.uuid4().hex}")
+    k = F.col("event_id") % 10
+    line = (F.when(k == 3, F.col("event_type")).when(k == 7, F.concat_ws(",", "event_id", "event_type", "user_id"))
+            .otherwise(F.concat_ws(",", "event_id", "event_type")))
+    read_table(spark, d, "events", "event_id", "event_type", "user_id").select(line).write.mode("overwrite").text(path)
+    good, bad = csv.read_csv_checked(spark, path, csv.string_schema(["a", "b"]), multiline=False, header=False)
     return (good.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("good"))
             .unionByName(bad.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("bad"))))

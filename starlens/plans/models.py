@@ -1,112 +1,193 @@
 """Model queries: logistic regression, SVMs, term weights, k-means.
 
-MLlib fits are iterative numeric solvers with no SQL equivalent, so
-these queries have no oracle string; ``tests/test_models.py`` checks
-them (fit on train only, metrics equal their recomputation,
-probabilities sum to one, clusters cover every row).
+MLlib fits are iterative numeric solvers with no SQL equivalent, so the
+fitted values have no oracle string; ``tests/test_models.py`` checks them
+(fit on train only, metrics equal their recomputation, probabilities sum to
+one, clusters cover every row). What SQL can compute of them (counts of fit
+inputs, hashed counts, test-set margins, slices, cluster totals) is
+registered as a query of its own, with an oracle.
+
+Each query fits its own model: nothing is kept between queries.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from starlens.functions import text
+from starlens.functions import clean
 from starlens.operators import models, ordering, split
 from starlens.plans import entities as E
+from starlens.plans.evaluation import SQL_LABELLED
 from starlens.plans.registry import register
+from starlens.plans.text import sql_tokens
+from starlens.sources.tables import read_table
 
 LR_SEED, SVM_SEED, TRIGRAM_SEED = 100, 42, 12345
 SLICE_LO, SLICE_HI = 100, 200
-_FITTED: dict = {}
 
 
-def _app(spark) -> str:
-    return spark.sparkContext.applicationId
+def _split(spark, d, seed):
+    return split.keyed_split(E.labelled_texts(spark, d), "doc_id", seed, 0.7)
 
 
-def _memo(key, build):
-    """Reuse a fit across the queries of one application and data folder."""
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
+def _sql_margins(seed: int) -> str:
+    return f"""
+SELECT count(*) AS n_test, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative
+  FROM (SELECT doc_id, label FROM {SQL_LABELLED})
+ WHERE ('0x' || substr(md5('{seed}:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000 >= 700"""
 
 
-def _labelled(spark, d):
-    return E.labelled_texts(spark, d)
+def _margins(report):
+    return report.select((F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp")).alias("n_test"),
+                         (F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("tn") + F.col("fp")).alias("n_negative"))
 
 
-def _lr_model(spark, d):
-    def build():
-        train, _ = split.keyed_split(_labelled(spark, d), "doc_id", LR_SEED, 0.7)
-        return models.fit(models.lr_pipeline(), train, "doc_id")
-    return _memo(("lr", _app(spark), d), build)
+# --- inputs and features ----------------------------------------------------------------
+@register("fit_input_counts", """
+SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL OR quality IS NULL) AS n_dropped,
+       count(*) FILTER (text IS NOT NULL AND quality IS NOT NULL) AS n_kept
+  FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def fit_input_counts(spark, d):
+    """What a fit drops when every document is offered, labelled or not."""
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    labels = read_table(spark, d, "labels", "doc_id", F.col("quality").alias("label"))
+    rows = docs.join(labels, "doc_id", "left")
+    kept = models.fit_inputs(models.lr_pipeline(), rows).agg(F.count(F.lit(1)).alias("n_kept"))
+    return (rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_kept", kept.scalar())
+            .select("n_rows", (F.col("n_rows") - F.col("n_kept")).alias("n_dropped"), "n_kept"))
+
+
+@register("hashed_counts", f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS DOUBLE) AS n_counted FROM documents")
+def hashed_counts(spark, d):
+    """Hashed term counts of a document add up to its tokens."""
+    docs = E.texts(spark, d).select("doc_id", "text")
+    tokens = Tokenizer(inputCol="text", outputCol="tokens").transform(docs)
+    hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=1 << 10).transform(tokens)
+    total = F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda a, x: a + x)
+    return hashed.select("doc_id", total.alias("n_counted"))
+
+
+# --- logistic regression -------------------------------------------------------------------
+def _lr(spark, d):
+    train, test = _split(spark, d, LR_SEED)
+    return models.fit(models.lr_pipeline(), train, "doc_id"), test
 
 
 @register("lr_metrics")
 def lr_metrics(spark, d):
-    _, test = split.keyed_split(_labelled(spark, d), "doc_id", LR_SEED, 0.7)
-    pred = _lr_model(spark, d).transform(test)
-    return models.classifier_report(pred)
+    model, test = _lr(spark, d)
+    return models.classifier_report(model.transform(test))
+
+
+@register("lr_test_margins", _sql_margins(LR_SEED))
+def lr_test_margins(spark, d):
+    """The report's margins are the test set's classes."""
+    return _margins(lr_metrics(spark, d))
+
+
+def _scored_slice(spark, d):
+    model, _ = _lr(spark, d)
+    rows = ordering.row_slice(E.labelled_texts(spark, d), ["doc_id"], SLICE_LO, SLICE_HI)
+    return models.with_probabilities(model.transform(rows))
 
 
 @register("lr_scored_slice")
 def lr_scored_slice(spark, d):
-    rows = ordering.row_slice(_labelled(spark, d), ["doc_id"], SLICE_LO, SLICE_HI)
-    pred = models.with_probabilities(_lr_model(spark, d).transform(rows))
-    return pred.select("doc_id", "row_index", "text", "prediction", "positive_prob", "negative_prob")
+    return _scored_slice(spark, d).select("doc_id", "row_index", "text", "prediction", "positive_prob", "negative_prob")
+
+
+@register("lr_slice_probabilities", f"""
+SELECT doc_id, row_index, 1.0::DOUBLE AS total FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_index FROM {SQL_LABELLED})
+ WHERE row_index > {SLICE_LO} AND row_index <= {SLICE_HI}
+""")
+def lr_slice_probabilities(spark, d):
+    """The slice's rows, their two probabilities added up."""
+    p = _scored_slice(spark, d)
+    return p.select("doc_id", "row_index", F.round(F.col("positive_prob") + F.col("negative_prob"), 6).alias("total"))
+
+
+# --- SVMs and term weights -------------------------------------------------------------------
+def _unigram_report(spark, d):
+    train, test = _split(spark, d, SVM_SEED)
+    model = models.fit(models.svm_unigram_pipeline(), train, "doc_id")
+    return models.classifier_report(model.transform(test), with_auc=False)
 
 
 @register("svm_unigram")
 def svm_unigram(spark, d):
-    train, test = split.keyed_split(_labelled(spark, d), "doc_id", SVM_SEED, 0.7)
-    model = models.fit(models.svm_unigram_pipeline(), train, "doc_id")
-    pred = model.transform(test)
-    return models.classifier_report(pred, with_auc=False)
+    return _unigram_report(spark, d)
 
 
-def _trigram_model(spark, d):
-    def build():
-        data = _labelled(spark, d).withColumnRenamed("label", "label_raw")
-        train, _ = split.keyed_split(data, "doc_id", TRIGRAM_SEED, 0.7)
-        return models.fit(models.svm_trigram_pipeline(), train, "doc_id")
-    return _memo(("svm3", _app(spark), d), build)
+@register("svm_unigram_margins", _sql_margins(SVM_SEED))
+def svm_unigram_margins(spark, d):
+    return _margins(_unigram_report(spark, d))
+
+
+def _trigram(spark, d):
+    """Trigram model on text without punctuation, and its test set."""
+    sides = [s.withColumn("text", clean.strip_punct("text")).withColumnRenamed("label", "label_raw")
+             for s in _split(spark, d, TRIGRAM_SEED)]
+    return models.fit(models.svm_trigram_pipeline(), sides[0], "doc_id"), sides[1]
 
 
 @register("svm_trigram")
 def svm_trigram(spark, d):
-    data = _labelled(spark, d).withColumnRenamed("label", "label_raw")
-    _, test = split.keyed_split(data, "doc_id", TRIGRAM_SEED, 0.7)
-    pred = _trigram_model(spark, d).transform(test)
-    return models.classifier_report(pred, with_auc=False)
+    model, test = _trigram(spark, d)
+    return models.classifier_report(model.transform(test), with_auc=False)
 
 
 @register("term_weights_top")
 def term_weights_top(spark, d):
-    return models.top_weighted_terms(models.term_weights(_trigram_model(spark, d)), 20)
+    model, _ = _trigram(spark, d)
+    return models.top_weighted_terms(models.term_weights(spark, model), 20)
 
 
-def _clustered(spark, d):
-    def build():
-        data = _labelled(spark, d)
-        model = models.fit(models.kmeans_pipeline(k=2, seed=1234), data, "doc_id")
-        return model
-    model = _memo(("km", _app(spark), d), build)
-    return models.relabel_by_size(model.transform(_labelled(spark, d)))
+# --- k-means -------------------------------------------------------------------------------
+def _clusters(spark, d, k=2):
+    data = E.labelled_texts(spark, d)
+    model = models.fit(models.kmeans_pipeline(k=k, seed=1234), data, "doc_id")
+    return models.assign_clusters(model, data, "doc_id"), data
 
 
 @register("kmeans_sizes")
 def kmeans_sizes(spark, d):
-    return _clustered(spark, d).groupBy("prediction").agg(F.count(F.lit(1)).alias("count"))
+    return _clusters(spark, d)[0].groupBy("prediction").agg(F.count(F.lit(1)).alias("count"))
 
 
 @register("cluster_profile")
 def cluster_profile(spark, d):
-    return models.cluster_profile(_clustered(spark, d))
+    return models.cluster_profile(_clusters(spark, d)[0])
+
+
+@register("cluster_totals", f"""
+SELECT count(*) AS n, round(avg(label), 6) AS avglabel, round(avg(len({sql_tokens('text')})), 6) AS avgtoken
+  FROM (SELECT text, CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)
+         WHERE text IS NOT NULL AND quality IS NOT NULL)
+""")
+def cluster_totals(spark, d):
+    """The profile's sizes and weighted averages are the whole table's."""
+    p, n = models.cluster_profile(_clusters(spark, d)[0]), F.col("count")
+    return p.agg(F.sum(n).alias("n"), F.round(F.sum(F.col("avglabel") * n) / F.sum(n), 6).alias("avglabel"),
+                 F.round(F.sum(F.col("avgtoken") * n) / F.sum(n), 6).alias("avgtoken"))
+
+
+def _profile_of_split(clustered):
+    return clustered.groupBy("prediction").agg(F.count(F.lit(1)).alias("count"), F.avg("n_tokens").alias("avgtoken"))
 
 
 @register("recluster")
 def recluster(spark, d):
-    base = _clustered(spark, d).select("doc_id", "text", "label", "prediction")
-    again = models.recluster(base, keep=0, k=2, key="doc_id")
-    return again.groupBy("prediction").agg(F.count(F.lit(1)).alias("count"),
-                                           F.avg(text.token_count(text.tokenize("text"))).alias("avgtoken"))
+    first, data = _clusters(spark, d)
+    return _profile_of_split(models.recluster(first, data, keep=0, k=2, key="doc_id"))
+
+
+@register("recluster_second")
+def recluster_second(spark, d):
+    """The larger half of the larger cluster, in five."""
+    first, data = _clusters(spark, d)
+    second = models.recluster(first, data, keep=0, k=2, key="doc_id")
+    return _profile_of_split(models.recluster(second, data, keep=0, k=5, key="doc_id"))

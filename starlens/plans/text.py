@@ -30,9 +30,11 @@ def sql_no_stop(toks: str) -> str:
     return f"list_filter({toks}, lambda x: x NOT IN ({SQL_STOP_LIST}))"
 
 
-def sql_trigrams(toks: str) -> str:
-    return (f"(CASE WHEN len({toks}) >= 3 THEN list_transform(range(1, len({toks}) - 1), "
-            f"lambda i: array_to_string(({toks})[i:i+2], ' ')) ELSE []::VARCHAR[] END)")
+SQL_TRIGRAMS = f"""(SELECT doc_id, g FROM (
+  SELECT doc_id, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS g
+    FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i
+            FROM (SELECT doc_id, {sql_tokens(sql_strip_punct('text'))} AS t FROM documents))
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL)"""
 
 
 def clean_tokens(t):
@@ -134,13 +136,13 @@ def token_count(spark, d):
 
 # --- T3, T5: trigrams and vocabulary -------------------------------------------------
 def trigrams(spark, d):
-    toks = E.texts(spark, d).select("doc_id", text.tokenize("text").alias("t"))
+    toks = E.texts(spark, d).select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
     return text.with_ngrams(toks, "t", "g", 3).select("doc_id", "g")
 
 
 @register("trigram_counts", f"""
-SELECT doc_id, CAST(len(g) AS INTEGER) AS n_trigrams, CAST(len(list_distinct(g)) AS INTEGER) AS n_distinct
-  FROM (SELECT doc_id, {sql_trigrams(sql_tokens('text'))} AS g FROM documents)
+SELECT doc_id, CAST(count(g) AS INTEGER) AS n_trigrams, CAST(count(DISTINCT g) AS INTEGER) AS n_distinct
+  FROM documents LEFT JOIN {SQL_TRIGRAMS} USING (doc_id) GROUP BY doc_id
 """)
 def trigram_counts(spark, d):
     g = trigrams(spark, d)
@@ -151,7 +153,7 @@ VOCAB_TOP = 1000
 
 
 @register("vocabulary_top", f"""
-WITH g AS (SELECT doc_id, unnest({sql_trigrams(sql_tokens('text'))}) AS term FROM documents),
+WITH g AS (SELECT doc_id, g AS term FROM {SQL_TRIGRAMS}),
      s AS (SELECT term, count(*) AS count, count(DISTINCT doc_id) AS df FROM g GROUP BY term)
 SELECT term, count, df, CAST(row_number() OVER (ORDER BY count DESC, term) - 1 AS INTEGER) AS vocab_index
   FROM s ORDER BY count DESC, term LIMIT {VOCAB_TOP}
@@ -167,16 +169,16 @@ SQL_IDF = f"""(SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents)
    FROM {SQL_TF} GROUP BY term)"""
 
 
-def _tf_idf(spark, d, persist: bool = False):
+def _tf_idf(spark, d, once: bool = False):
     docs = E.texts(spark, d)
     toks = docs.select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
     tf = terms.term_frequencies(toks, "doc_id", "t", exclude=text.STOP_WORDS_EN)
-    if persist:
-        tf = tf.persist()
+    if once:
+        tf = tf.checkpoint()
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     idf = terms.idf_table(tf, n_docs)
     # idf (one row per term) feeds the small side, the hot-key list and its total
-    return tf, (idf.persist() if persist else idf)
+    return tf, (idf.checkpoint() if once else idf)
 
 
 @register("idf_terms", f"SELECT term, df, round(idf, {R6}) AS idf FROM {SQL_IDF}")
@@ -194,8 +196,8 @@ SELECT doc_id, term, tf, round(tfidf, {R6}) AS tfidf, CAST(rank AS INTEGER) AS r
 """)
 def tfidf_top_per_doc(spark, d):
     # tf and idf feed several branches (big side, small side, hot-key list,
-    # totals): cache them once instead of re-tokenizing the corpus per branch.
-    tf, idf = _tf_idf(spark, d, persist=True)
+    # totals): written once in the shared folder instead of tokenizing per branch.
+    tf, idf = _tf_idf(spark, d, once=True)
     weights = terms.tfidf(tf, idf, "doc_id")
     top = terms.top_terms_per_doc(weights, "doc_id", "tfidf", 5)
     return top.select("doc_id", "term", "tf", F.round("tfidf", R6).alias("tfidf"), "rank")

@@ -8,6 +8,7 @@ tests, the bench and small local runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,11 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is
-    unset (a bare local test session) is a fresh scratch folder created.
+    ``spark.checkpoint.dir`` is read from the session.  Only a ``local``
+    session without it gets a fresh scratch folder: on a cluster a
+    machine-local folder would be invisible to the other machines.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="starlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,16 +62,25 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "starlens", *parts])
 
 
-def size_partitions(df, target_bytes: int = 128 << 20, cap: int | None = None) -> int:
-    """Partition count from Catalyst's size estimate of ``df``.
+UNKNOWN_SIZE = 1 << 60  # Spark's stand-in for a source without statistics
 
-    At least one per core, about ``target_bytes`` each, at most ``cap``.
-    Independent of ``spark.sql.shuffle.partitions`` unless used as the cap.
+
+def source_bytes(df) -> int:
+    """Bytes of the sources that ``df`` reads: the sum over its plan's leaves.
+
+    A join's own estimate multiplies its sides; the sum of what is read
+    does not.  Sources without statistics count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(b for b in sizes if b < UNKNOWN_SIZE)
+
+
+def size_partitions(df, target_bytes: int = 128 << 20, expansion: int = 4) -> int:
+    """Partition count for ``df``: its source bytes, expanded in memory, by ``target_bytes``.
+
+    Follows the data alone: neither the cores nor
+    ``spark.sql.shuffle.partitions`` matter, so a fit or a range
+    partitioning is the same on any cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        n = max(cores, -(-size // target_bytes))
-    except Exception:  # noqa: BLE001  (no estimate: one partition per core)
-        n = cores
-    return min(n, cap) if cap else n
+    return max(1, min((1 << 31) - 1, -(-source_bytes(df) * expansion // target_bytes)))

@@ -12,10 +12,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.session import ensure_checkpoint_dir
+
 CORRUPT_COL = "_corrupt_record"
 
 
@@ -24,32 +27,48 @@ def string_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
 
-def _reader(spark: SparkSession, schema: T.StructType, multiline: bool):
-    return (spark.read.schema(schema)
-            .option("header", "true")
+def _reader(spark: SparkSession, schema: T.StructType | None, multiline: bool, header: bool):
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return (reader
+            .option("header", "true" if header else "false")
             .option("multiLine", "true" if multiline else "false")
             .option("quote", '"')
             .option("escape", '"')
             .option("mode", "PERMISSIVE"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """Read CSV with a declared schema (no inference pass over the data)."""
-    return _reader(spark, schema, multiline).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True,
+             header: bool = True) -> DataFrame:
+    """Read CSV with a declared schema, or all strings named by the header line."""
+    return _reader(spark, schema, multiline, header).csv(path)
+
+
+def read_csv_or_empty(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True,
+                      header: bool = True) -> DataFrame:
+    """Read CSV; a path that is not there gives an empty table of the declared schema."""
+    try:
+        return read_csv(spark, path, schema, multiline, header)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_table(spark, schema)
 
 
 def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType,
-                     multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+                     multiline: bool = True, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """Return ``(good, bad)``: parsed rows and malformed raw records.
 
-    The parse is persisted once so both halves come from one read; the
-    corrupt-record column may only be referenced on a cached result.
+    With ``header`` the first line of every file names the columns; without
+    it every line is a record, so good and bad add up to all lines. The
+    parse is checkpointed once, as Spark wants for the corrupt-record
+    column, and both halves come from it.
     """
+    ensure_checkpoint_dir(spark)
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT_COL, T.StringType(), True)])
-    parsed = (_reader(spark, with_corrupt, multiline)
+    parsed = (_reader(spark, with_corrupt, multiline, header)
               .option("columnNameOfCorruptRecord", CORRUPT_COL)
               .csv(path)
-              .persist())
+              .checkpoint())
     good = parsed.filter(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL)
     bad = parsed.filter(F.col(CORRUPT_COL).isNotNull()).select(CORRUPT_COL)
     return good, bad
@@ -66,4 +85,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("quote", '"')
      .option("escape", '"')
      .option("quoteAll", "false")
+     .option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false")
      .csv(path))

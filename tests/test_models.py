@@ -43,7 +43,7 @@ def test_svm_trigram_and_term_weights(spark, labelled):
     model = models.fit(models.svm_trigram_pipeline(vocab_size=FEATURES, max_iter=5), train, "doc_id")
     pred = model.transform(test)
     assert pred.select("prediction").distinct().count() <= 2
-    tw = models.term_weights(model)
+    tw = models.term_weights(spark, model)
     assert tw.frame.count() == len(model.stages[2].vocabulary)
     top = models.top_weighted_terms(tw, 5).collect()
     assert len(top) == 10
@@ -52,11 +52,24 @@ def test_svm_trigram_and_term_weights(spark, labelled):
 
 def test_kmeans_relabel_and_profile(spark, labelled):
     model = models.fit(models.kmeans_pipeline(k=2, num_features=FEATURES), labelled, "doc_id")
-    clustered = models.relabel_by_size(model.transform(labelled))
+    clustered = models.assign_clusters(model, labelled, "doc_id")
     sizes = {r.prediction: r["count"] for r in clustered.groupBy("prediction").count().collect()}
     assert sum(sizes.values()) == labelled.count()
     assert sizes[0] >= sizes.get(1, 0)
     prof = models.cluster_profile(clustered).collect()
     assert sum(r["count"] for r in prof) == labelled.count()
-    again = models.recluster(clustered, keep=0, k=2, key="doc_id", num_features=FEATURES)
+    again = models.recluster(clustered, labelled, keep=0, k=2, key="doc_id", num_features=FEATURES)
     assert again.count() == sizes[0]
+
+
+def test_fit_drops_null_text_and_label(spark):
+    rows = [(i, f"good day {i % 7} x", float(i % 2)) for i in range(60)] + [(90, None, 1.0), (91, "some text", None), (92, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    for pipeline in (models.lr_pipeline(num_features=64), models.svm_unigram_pipeline(num_features=64)):
+        assert models.fit_inputs(pipeline, df).count() == 60
+        models.fit(pipeline, df, "doc_id")
+    raw = df.withColumnRenamed("label", "label_raw")
+    assert models.fit_inputs(models.svm_trigram_pipeline(vocab_size=64), raw).count() == 60
+    models.fit(models.svm_trigram_pipeline(vocab_size=64, max_iter=2), raw, "doc_id")
+    model = models.fit(models.kmeans_pipeline(k=2, num_features=64), df.drop("label").withColumn("label", F.lit(1.0)), "doc_id")
+    assert models.assign_clusters(model, df, "doc_id").count() == 61

@@ -63,3 +63,29 @@ def test_confusion_matrix_zero_cells(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (0.0, 1.0)], "label double, prediction double")
     got = {r.label: (r.pred_0, r.pred_1) for r in evaluate.confusion_matrix(df).collect()}
     assert got == {1.0: (0, 2), 0.0: (0, 1)}
+
+
+def test_slice_checkpoints_keys_only(spark):
+    df = spark.range(300).selectExpr("id as k", "repeat('x', 1000) as wide")
+    plan = ordering.row_slice(df, ["k"], 10, 20)._jdf.queryExecution().optimizedPlan().toString()
+    checkpointed = [line for line in plan.splitlines() if "LogicalRDD" in line]
+    assert checkpointed and all("wide" not in line for line in checkpointed)
+
+
+def test_partition_count_follows_the_data(spark, sf_small):
+    from starlens.session import size_partitions, source_bytes
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet")
+    joined = docs.join(labels, "doc_id")
+    assert 0 < source_bytes(joined) <= source_bytes(docs) + source_bytes(labels)
+    assert size_partitions(docs) == 1
+    assert size_partitions(docs, target_bytes=1000) > size_partitions(docs, target_bytes=100_000) > 1
+    assert size_partitions(spark.createDataFrame([(1,)], "a int")) == 1
+
+
+def test_duplicate_count_of_empty_table(spark):
+    from starlens.operators import profile
+
+    row = profile.duplicate_count(spark.createDataFrame([], "k int"), "k").collect()[0]
+    assert (row.n_rows, row.n_distinct, row.n_duplicates) == (0, 0, 0)

@@ -53,7 +53,7 @@ def test_skew_safe_join_equals_plain_join(spark):
     big = spark.range(5000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50)).alias("k"),
                                    F.col("id").alias("v"))
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    a = prefixed_inner_join(big, small, "k", "l_", "r_", skew_safe=True, max_hot=10, salts=8)
+    a = prefixed_inner_join(big, small, "k", "l_", "r_", skew_safe=True, max_hot=10, rows_per_salt=200)
     b = prefixed_inner_join(big, small, "k", "l_", "r_")
     assert a.count() == b.count() == 5000
     assert a.exceptAll(b).count() == 0

@@ -52,7 +52,7 @@ def test_tfidf_salted_equals_plain(spark):
     df = spark.createDataFrame(rows, "id int, g array<string>")
     tf = terms.term_frequencies(df, "id", "g")
     idf = terms.idf_table(tf, 200)
-    salted = terms.tfidf(tf, idf, "id", max_hot=10, salts=8)
+    salted = terms.tfidf(tf, idf, "id", max_hot=10, rows_per_salt=50)
     plain = tf.join(idf.select("term", "idf"), "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
     cols = ["id", "term", "tf", "tfidf"]
     assert salted.select(cols).exceptAll(plain.select(cols)).count() == 0
