@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlens.llm.scratch import ascii_lower, same_row, text_or_empty
+from starlens.llm.scratch import Scratch, ascii_lower, same_row, text_or_empty
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -25,7 +25,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
                 min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with ``text_col`` reduced to its kept lines, plus ``n_lines`` and ``n_dropped``.
 
@@ -57,6 +57,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
         .where(F.col("n") >= min_docs).select("hash", "keep")
     )
+    # a written table, not an aggregate: only then can the join split the partition of a hot line
+    shared = scratch.save(shared, "shared-lines")
     drops = (
         occurrences.join(shared.hint("merge"), "hash").where(~F.col("id").eqNullSafe(F.col("keep")))
         .groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))

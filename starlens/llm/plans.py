@@ -140,7 +140,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT
 FROM m GROUP BY doc_id""")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines held by three or more documents stay in the largest id only."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op7"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
