@@ -26,7 +26,7 @@ HEADLINE = [
     "vocabulary_top", "idf_terms", "tfidf_top_per_doc", "keyed_split", "row_slice",
     "confusion_matrix", "binary_metrics", "auc_rank", "csv_roundtrip",
     "lr_metrics", "lr_scored_slice", "svm_unigram", "svm_trigram", "term_weights_top",
-    "kmeans_sizes", "cluster_profile", "recluster", "recluster_second",
+    "kmeans_sizes", "cluster_profile", "recluster",
 ]
 
 
