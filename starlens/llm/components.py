@@ -2,8 +2,9 @@
 
 Alternating large-star and small-star steps: every step is a grouped
 minimum (partially aggregated, so a hub costs one row a task) and one
-equi-join of the links with those minima (adaptive execution splits a
-hub's rows). Each round is written to the shared folder.
+equi-join of the links with those minima. The minima are a written table,
+not an aggregate under the join: only then can adaptive execution split a
+hub's rows. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -32,19 +33,19 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch, name: str = "
     while True:
         i += 1
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{i}-low")
         # large star: every larger neighbour points to the smallest of the neighbourhood
         large = (both.where(F.col("v") > F.col("u")).join(low, "u")
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         large = scratch.save(large, f"{name}-{i}-large")
         # small star: a node and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{i}-low-small")
         joined = large.join(low, "u")
         small = (joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
         new = scratch.save(small, f"{name}-{i}")
         new_state = _hash_sum(new)
-        scratch.drop(f"{name}-{i}-large", f"{name}-{i - 1}")
+        scratch.drop(f"{name}-{i}-low", f"{name}-{i}-large", f"{name}-{i}-low-small", f"{name}-{i - 1}")
         current = new
         if new_state == state:
             break
