@@ -208,7 +208,8 @@ def _pairs_by_prefix(reps: DataFrame, t: int, scratch: Scratch) -> DataFrame:
     postings = reps.select("rep", F.posexplode("sig").alias("coord", "value"))
     postings = postings.select("rep", F.shiftleft(F.col("coord").cast("long"), 32)
                                .bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
+    # what is joined on a token or a pivot is a written table: under an aggregate a hot one would not be split
+    lists = scratch.save(postings.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1), "lists")
     shared = postings.join(lists, "token").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("f", "token"))).alias("tokens"), F.sum("f").alias("central"))
     prefix = (shared.where(F.size("tokens") >= t)
@@ -218,6 +219,7 @@ def _pairs_by_prefix(reps: DataFrame, t: int, scratch: Scratch) -> DataFrame:
     pivots = (prefix.groupBy("token").agg(F.max(F.struct(F.col("central"), (-F.col("rep")).alias("neg"))).alias("p"),
                                           F.count(F.lit(1)).alias("f"))
               .where(F.col("f") > 1).select("token", (-F.col("p.neg")).alias("pivot")))
+    pivots = scratch.save(pivots, "pivots")
     return prefix.join(pivots, "token").where(F.col("rep") != F.col("pivot")).select("pivot", "rep").distinct()
 
 
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     # first round: every document against its pivots
     sizes = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
-    sizes = sizes.select("pivot", F.ceil(F.col("g") / block).cast("int").alias("blocks"))
+    sizes = scratch.save(sizes.select("pivot", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "sizes")
     members = stars.join(sizes, "pivot").withColumn("j", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     alone = [F.col("rep").alias("comp"), F.lit(False).alias("open")]
     right = members.join(sets, "rep").select("pivot", F.lit(0).alias("i"), "j", "rep", *alone, "n", "sig", "shingles")
@@ -269,6 +271,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     plan = (group.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"), F.count_if("open").alias("o"))
             .where((F.col("o") > 0) & (F.col("g") > 1))
             .select("pivot", F.ceil(F.col("g") / block).cast("int").alias("js"), F.ceil(F.col("o") / block).cast("int").alias("is")))
+    plan = scratch.save(plan, "plan")
     full = group.join(plan, "pivot").join(sets, "rep")
     left = (full.where("open").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("is")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1))))
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     known = comp.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(known.union(more), "a", "b", scratch, "cc2")
 
-    scratch.drop("prefix", "sets", "group")
+    scratch.drop("lists", "prefix", "pivots", "sizes", "sets", "group", "plan")
     by_class = classes.join(final, classes["rep"] == final["node"], "left").select(
         F.col("digest").alias("class"), F.coalesce("component", "rep").alias("component"))
     return (sketch.select("doc_id", "n", "digest").join(by_class, F.col("digest") == F.col("class"), "left")
