@@ -102,7 +102,8 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_c
     # exact containment: shingles that cover the window, each at its position
     cover = shingles.where((F.col("off") % F.col("size") == 0) | (F.col("off") == F.col("len") - F.col("size")))
     needed = cover.groupBy("wid").agg(F.count(F.lit(1)).alias("needed"))
-    cover = cover.join(needed, "wid").select("wid", "off", "tok", "needed")
+    # a written table: broadcast by its real size, and if shuffled, a passage held by many documents can be split
+    cover = scratch.save(cover.join(needed, "wid").select("wid", "off", "tok", "needed"), "cover")
     expected = (candidates.join(cover, "wid")
                 .select("id", "th", "start", "wid", "len", "needed", "tok", (F.col("start") + F.col("off")).alias("pos")))
     there = found.select("id", "th", "pos", "tok")
