@@ -169,12 +169,13 @@ def decode_record(pieces: Iterable[bytes], with_payload: bool = True) -> dict:
     return out | {"status": "ok"}
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, first_id, is_revisit``: which record of equal payloads is stored.
 
     Among payloads of at least ``min_bytes`` bytes the smallest page_id is
-    the response. Digests are counted before the join, so a payload shared
-    by a third of all pages is one row a task; the join splits when skewed.
+    the response. Smallest ids are partially aggregated, so a payload shared
+    by a third of all pages is one row a task there; they are a written
+    table, so that adaptive execution can split such a payload in the join.
     Null html is an empty payload. Rows that repeat the smallest page_id
     are all responses. A null page_id revisits unless all of its equals are
     null.
@@ -182,7 +183,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(text_or_empty("html"), "utf-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"))
+    first = scratch.save(rows.groupBy("sha").agg(F.min("page_id").alias("first_id")), "first")
     revisit = (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(first, "sha").select("page_id", "url", "payload", "first_id", revisit.alias("is_revisit"))
 
@@ -274,6 +275,6 @@ def archive_round_trip(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, w
 
     An empty table writes no archive and reads no record.
     """
-    manifest = scratch.save(write_archives(plan_records(pages, min_bytes), scratch.path("warc")), "manifest")
+    manifest = scratch.save(write_archives(plan_records(pages, scratch, min_bytes), scratch.path("warc")), "manifest")
     n = max(1, manifest.count())
     return read_archives(manifest.repartition(n), with_payload)
