@@ -157,7 +157,7 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url under the four rules."""
     rules = spark.sql("SELECT * FROM VALUES "
                       + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS t(host, path, verdict)")
-    return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)\
+    return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, Scratch(spark, "op8"))\
         .select("page_id", "host", "path", "rule", "verdict")
 
 

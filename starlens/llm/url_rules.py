@@ -9,7 +9,9 @@ point; its top is the longest rule that fits.
 Scale: only hosts with rules are sorted. A host's urls are dealt over as
 many salts as its count needs, with the host's interval ends copied to each
 salt, so one host with a third of all urls is no single task. Urls are
-judged once per distinct (host, path).
+judged once per distinct (host, path). What urls are joined with are written
+tables, not aggregates: Spark broadcasts them by their real size or, if they
+are large, adaptive execution splits a hot host or a hot url.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.llm.scratch import ascii_lower
+from starlens.llm.scratch import Scratch, ascii_lower
 
 ROWS_PER_SALT = 50_000
 
@@ -56,7 +58,7 @@ def _rules_with_stack(rules: DataFrame) -> DataFrame:
             .withColumnRenamed("inner_path", "path"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow",
+def judge_urls(pages: DataFrame, rules: DataFrame, scratch: Scratch, url_col: str = "url", default: str = "allow",
                rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """``pages`` plus ``host``, ``path``, ``rule`` and ``verdict``.
 
@@ -72,7 +74,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in new]).alias("row"),
                         url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     urls = base.select("host", "path").distinct()
-    stacks = _rules_with_stack(rules)
+    stacks = scratch.save(_rules_with_stack(rules), "stacks")
     # a url's candidates: its host's last 1..m labels, m the most labels of a rule's host
     depth = stacks.agg(F.coalesce(F.max(F.size(F.split("hkey", "[.]", -1))), F.lit(0)).alias("depth"))
     depth = int(depth.first()["depth"])
@@ -80,10 +82,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     parts = (urls.select("host", "path", F.size(labels).alias("n"), reversed_host(F.col("host")).alias("rev"))
              .select("host", "path", "rev", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(max(depth, 1))))).alias("k"))
              .select("host", "path", F.expr("substring_index(rev, '.', k)").alias("hkey")))
-    hosts = stacks.select("hkey").distinct()
-    candidates = parts.join(hosts, "hkey", "left_semi")
+    candidates = scratch.save(parts.join(stacks.select("hkey"), "hkey", "left_semi"), "candidates")
     salts = (candidates.groupBy("hkey").agg(F.count(F.lit(1)).alias("n"))
              .select("hkey", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts")))
+    salts = scratch.save(salts, "salts")
     salted = (candidates.join(salts, "hkey")
               .select("hkey", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"),
                       F.encode("path", "utf-8").alias("key"), F.lit(1).alias("kind"), "host", "path",
@@ -107,6 +109,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
                                 F.col("top.host_len").alias("host_len"), F.col("top.rule").alias("rule"),
                                 F.col("top.verdict").alias("verdict"))).alias("best"))
             .select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best.rule", "best.verdict"))
+    best = scratch.save(best, "best")
+    scratch.drop("stacks", "candidates", "salts")
     out = base.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
     return out.select(
         *[F.col(f"row.`{c}`") for c in pages.columns if c not in new], "host", "path", "rule",
