@@ -278,7 +278,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, scratch: Scratc
                     F.count_if(~F.col("held_out")).alias("train")).first()
     n_texts = int(size["train"])
     n_chunks = max(1, math.ceil((size["b"] or 0) / chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
     words = (rows.repartition(n_chunks, "chunk").sortWithinPartitions("chunk")
              .mapInArrow(_chunk_words, "chunk int, word binary, c long"))
