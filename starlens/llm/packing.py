@@ -52,7 +52,7 @@ class Encoder:
         back = byte_alphabet()
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cut = re.compile(r"(?<=\S)(?=\s)")
+        self.cut = re.compile(r"(?<=\S)(?=[ \t\r\n])")  # white space in every definition of it
 
     def ids(self, text: str) -> np.ndarray:
         """All ids. Very long texts go in pieces, cut before white space where no token can cross."""
