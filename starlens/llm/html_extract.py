@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +48,7 @@ WORD = re.compile(r"[a-z]+")
 
 HARD, INSIDE = 8.0, 5.0
 ADJACENT, SAME_PARENT = 0.3, 0.4
+ROOM = 1e-9  # less capacity than this is none
 
 
 def _mark(name: str, attrs: str) -> str | None:
@@ -92,6 +93,12 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, str | None, int]] = [("", None, 0)]
     ids, links, current, at, size = 0, 0, None, 0, len(page)
+    open_names: Counter = Counter()
+    endless: set[str] = set()  # skipped elements without an end from here on
+
+    def close(first: int) -> None:
+        open_names.subtract(name for name, _, _ in stack[first:])
+        del stack[first:]
 
     def text(raw: str) -> None:
         nonlocal current
@@ -125,13 +132,13 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif name in BLOCK:
                 current = None
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if open_names[name] > 0:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             continue
         if name in SKIPPED:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else (size if name in ("script", "style", "title", "textarea") else at)
             continue
         if name == "a":
@@ -146,13 +153,14 @@ def blocks(page: str) -> list[Block]:
             if name in CLOSES_SELF:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in CLOSES_SELF:
                         break
             elif stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             ids += 1
+            open_names[name] += 1
             stack.append((name, _inside(stack[-1][1], _mark(name, m[3][:-1])), ids))
     out = []
     for b in found:
@@ -226,29 +234,40 @@ def min_cut(scores: list[float], joined: list[tuple[int, int, float]]) -> list[b
         else:
             cap[i][sink], cap[sink][i] = -s[i], 0.0
 
-    def reach() -> dict[int, int]:
-        seen, queue = {source: source}, deque([source])
+    def levels() -> dict[int, int]:
+        """Distance from the source over edges with room."""
+        far, queue = {source: 0}, deque([source])
         while queue:
             i = queue.popleft()
             for j, c in cap[i].items():
-                if c > 1e-9 and j not in seen:
-                    seen[j] = i
-                    if j == sink:
-                        return seen
+                if c > ROOM and j not in far:
+                    far[j] = far[i] + 1
                     queue.append(j)
-        return seen
-
-    while sink in (seen := reach()):
-        path, i = [], sink
-        while i != source:
-            path.append((seen[i], i))
-            i = seen[i]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] = cap[b].get(a, 0.0) + flow
+        return far
+
+    while sink in (far := levels()):  # each round fills all shortest paths
+        ahead = {i: iter(list(cap[i])) for i in far}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i != sink:
+                step = next((j for j in ahead[i] if cap[i][j] > ROOM and far.get(j) == far[i] + 1), None)
+                if step is None:
+                    path.pop()
+                else:
+                    path.append(step)
+                continue
+            flow = min(cap[a][b] for a, b in zip(path, path[1:]))
+            full = len(path)
+            for k in range(len(path) - 1, 0, -1):
+                a, b = path[k - 1], path[k]
+                cap[a][b] -= flow
+                cap[b][a] += flow
+                if cap[a][b] <= ROOM:
+                    full = k
+            del path[full:]
     for i in rest:
-        label[i] = i in seen
+        label[i] = i in far
     return [bool(x) for x in label]
 
 
