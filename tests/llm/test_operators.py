@@ -151,7 +151,7 @@ def test_language_held_out_accuracy_and_edges(spark, sf_small):
     held = out.where("held_out and lang is not null")
     assert held.where("lang = lang_pred").count() >= 0.9 * held.count()
     model = lang_id.new_model(["de", "en"], 4, 16, 1)
-    odd = [None, "", "123 !!", "a", "é" * 100]
+    odd = [None, "", "123 !! ½ ²", "a", "é" * 100]
     langs, score = lang_id.predict_texts(model, odd)
     assert langs[:3] == ["und"] * 3 and score[:3] == [0.0] * 3 and set(langs[3:]) <= {"de", "en"}
     assert lang_id.predict(docs(spark, [(1, "x")]), None).first().lang_pred == "und"
@@ -187,17 +187,17 @@ def test_line_dedup_edges(spark, scratch_tables):
     assert {r.n_dropped for r in line_dedup.dedup_lines(docs(spark, pair), Scratch(spark, "p")).collect()} == {0}
 
 
-def test_url_rules_nest(spark):
+def test_url_rules_nest(spark, scratch_tables):
     rules = spark.createDataFrame([("a.net", "/", "block"), ("a.net", "/x/", "allow"), ("a.net", "/x/y", "block"), ("net", "/x/y/z", "allow"),
                                    ("B.net", "/", "block"), ("b.net", "/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     urls = {1: ("http://a.net/x/yy", "a.net/x/y", "block"), 2: ("https://W.A.net/x/?q", "a.net/x/", "allow"), 3: ("http://a.net", None, "allow"),
             4: ("http://aa.net/x/y/z1", "net/x/y/z", "allow"), 5: ("http://b.net/q#f", "b.net/", "block"), 6: (None, None, "allow"),
             7: ("nothing", None, "allow"), 8: ("http://a.net/x/y/z", "a.net/x/y", "block"), 9: ("http://a.net/w", "a.net/", "block")}
     pages = spark.createDataFrame([(k, v[0], "clash") for k, v in urls.items()], "page_id long, url string, rule string")
-    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules, rows_per_salt=1).collect()}
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules, scratch_tables, rows_per_salt=1).collect()}
     assert got == {k: v[1:] for k, v in urls.items()}
-    assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
-    assert {r.verdict for r in url_rules.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_rules.judge_urls(pages.limit(0), rules, Scratch(spark, "u")).count() == 0
+    assert {r.verdict for r in url_rules.judge_urls(pages, rules.limit(0), Scratch(spark, "r")).collect()} == {"allow"}
 
 
 # --- 6 lattice ------------------------------------------------------------------------------
