@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from starlens.llm.components import components
 from starlens.llm.scratch import Scratch, text_or_empty
 
-COORDS, SHINGLE, PERCENT, SIGMA, BLOCK = 128, 5, 85, 6.0, 96
+COORDS, SHINGLE, PERCENT, SIGMA, BLOCK = 128, 5, 80, 6.0, 96
 _RNG = np.random.default_rng(20240229)
 POWERS = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _RNG.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

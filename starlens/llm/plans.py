@@ -64,7 +64,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over five-word shingles at 85 per cent."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dup.near_duplicates(docs, Scratch(spark, "op2"))
+    return near_dup.near_duplicates(docs, Scratch(spark, "op2"), percent=85)
 
 
 @query("op3_packing")

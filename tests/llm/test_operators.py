@@ -67,7 +67,7 @@ def _gz(data):
 
 
 # --- 2 near duplicates ------------------------------------------------------------------------
-def brute_components(rows):
+def brute_components(rows, percent=80):
     sets = {i: {bytes(x) for x in _shingles(t)} for i, t in rows}
     low = {i: i for i in sets}
     changed = True
@@ -76,7 +76,7 @@ def brute_components(rows):
         for a in sets:
             for b in sets:
                 both = len(sets[a] & sets[b])
-                if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and low[a] > low[b]:
+                if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and low[a] > low[b]:
                     low[a], changed = low[b], True
     return {i: (len(sets[i]), low[i]) for i in sets}
 
@@ -86,7 +86,8 @@ def _shingles(text):
     return [b" ".join(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [b" ".join(w)] * bool(w)
 
 
-def test_near_duplicates_equal_brute_force(spark, scratch_tables):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(spark, scratch_tables, percent):
     g = np.random.default_rng(3)
     base = [f"w{i}" for i in g.integers(0, 5000, 150)]
     rows = [(1000, " ".join(base)), (1, None), (2, ""), (3, " \t"), (4, "One two"), (5, "one TWO"), (6, "é É"), (7, "É é")]
@@ -95,8 +96,9 @@ def test_near_duplicates_equal_brute_force(spark, scratch_tables):
         for at in g.integers(0, 150, k % 5):
             w[at] = f"x{k}_{at}"
         rows.append((10 + k, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, rows), scratch_tables, block=8).collect()}
-    assert got == brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(
+        docs(spark, rows), scratch_tables, percent=percent, block=8).collect()}
+    assert got == brute_components(rows, percent)
     twice = near_dup.near_duplicates(docs(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, "a b")]), Scratch(spark, "t"))
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in twice.collect()) == [(0, None, False), (1, 1, True), (1, 1, True), (2, 1, False)]
 
