@@ -128,6 +128,17 @@ def test_packing_is_exact_and_full(spark):
     assert packing.pack(docs(spark, []), BPE).count() == 0
 
 
+def test_packing_finds_added_tokens():
+    from tokenizers import Tokenizer
+
+    tok, encoder, end = Tokenizer.from_file(BPE), packing.Encoder(BPE), "<|endoftext|>"
+    assert encoder.ids(f"a {end} b").tolist() == [64, 220, 50256, 275]
+    texts = [end, end * 3, f"{end}ab", f"ab{end}", f"ab  {end}  cd\n\n{end}\n", f"<|endof{end}text|>", "<|endoftext|", f"<{end}>",
+             "ab cd " * 43690 + f"abc{end} ef" + " ab cd" * 50000, "x" * (packing.LONG_TEXT - 5) + end + " y" * 9]
+    for text in texts:
+        assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 # --- 4 language -----------------------------------------------------------------------------
 def test_gradients_match_differences():
     g = np.random.default_rng(0)
