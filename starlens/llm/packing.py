@@ -26,6 +26,8 @@ PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, se
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_TEXT = 1 << 18
+LONG_RUN = 1 << 14  # white space of this length in a long text is encoded apart: the pattern's stack grows with a run
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what ``\s`` is to both encoders
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,6 +62,7 @@ class Encoder:
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = re.compile(r"(?<=\S)(?=[ \t\r\n])")  # white space in every definition of it
+        self.run = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{LONG_RUN},}}")
 
     def ids(self, text: str) -> np.ndarray:
         """All ids, those of added tokens too."""
@@ -72,16 +75,33 @@ class Encoder:
         return np.concatenate([*parts, self._between(text[at:])])
 
     def _between(self, text: str) -> np.ndarray:
-        """Ids of a text without added tokens. Very long ones go in pieces, cut before white space where no token can cross."""
+        """Ids of a text without added tokens.
+
+        A very long one goes in pieces. A long run of white space is one
+        token's piece but for its last character, which the pattern leaves
+        to what follows; at the end of the text it is the whole run.
+        """
         if len(text) <= LONG_TEXT:
-            return np.array(self.encoding.encode_ordinary(text), dtype=np.uint32)
+            return self._ordinary(text)
         parts, at = [], 0
+        for m in self.run.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            parts += [*self._pieces(text[at:m.start()]),
+                      np.array(self.encoding._encode_single_piece(text[m.start():end]), dtype=np.uint32)]
+            at = end
+        return np.concatenate([*parts, *self._pieces(text[at:])])
+
+    def _pieces(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a text in pieces, cut before white space where no token can cross."""
+        at = 0
         while at < len(text):
             m = self.cut.search(text, at + LONG_TEXT) if at + LONG_TEXT < len(text) else None
             end = m.start() if m else len(text)
-            parts.append(np.array(self.encoding.encode_ordinary(text[at:end]), dtype=np.uint32))
+            yield self._ordinary(text[at:end])
             at = end
-        return np.concatenate(parts)
+
+    def _ordinary(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), dtype=np.uint32)
 
 
 class Bins:

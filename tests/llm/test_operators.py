@@ -139,6 +139,17 @@ def test_packing_finds_added_tokens():
         assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("white", [" ", "\n", "\u3000", "\r\n\t "])
+def test_packing_of_long_white_space(white):
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(BPE), packing.Encoder(BPE)
+    run = white * (2_500_000 // len(white))
+    near = white * (packing.LONG_RUN // len(white))
+    for text in (f"a{run}b", run, f"{run}1{run}", f"ab  {run}<|endoftext|>{run}!", f"{'ab' * packing.LONG_TEXT}{near}c{near[1:]}d {near[:-1]}\n'e"):
+        assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 # --- 4 language -----------------------------------------------------------------------------
 def test_gradients_match_differences():
     g = np.random.default_rng(0)
