@@ -16,6 +16,7 @@ import html
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import dropwhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,8 @@ SKIPPED = frozenset("script style noscript template title textarea select button
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_SELF = frozenset("p li dd dt tr td th option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id or role that mark an element, and elements that do so by name.
+# Words that mark an element as a whole token of class, id or role, and elements that do so by name. A token of several
+# words marks if it names such a part (site-footer, comment-list, cookie-notice), not if it says more (has-sidebar).
 BOILER_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie
 cookies consent gdpr notice notices notification alert newsletter subscribe subscription sidebar side widget menu nav
 navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist reply replies
@@ -37,38 +39,67 @@ respond discussion disqus share sharing social related recommended popular trend
 signin search pagination pager copyright disclaimer hidden contentinfo complementary""".split())
 HEADER_WORDS = frozenset("header head".split())
 MAIN_WORDS = frozenset("article content main post entry story".split())
+REPLY_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+WHOSE_WORDS = frozenset("article entry main page post site".split())  # before such a word
+PART_WORDS = frozenset("""area bar block body bottom box button buttons container group icon icons inner item items left
+link links list more outer panel posts right section text title top wrap wrapper""".split())  # beside such a word
 BOILER_TAGS = frozenset("nav footer aside dialog menu".split())
 MAIN_TAGS = frozenset("article main".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|[^>]*(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
+ATTRIBUTE = re.compile(
+    r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")  # one attribute: name, value
 WORD = re.compile(r"[a-z]+")
 
-HARD, INSIDE = 8.0, 5.0
+HARD, INSIDE, OUTSIDE = 8.0, 5.0, -0.5
+NAMED = 4.0  # cost of a name: the edges of a long paragraph outvote it among content
 ADJACENT, SAME_PARENT = 0.3, 0.4
 ROOM = 1e-9  # less capacity than this is none
 
 
+def _named(token: str) -> str | None:
+    """``named`` (boilerplate), ``head``, ``content`` or None for a whole token of class, id or role."""
+    words = WORD.findall(token.lower())
+    known = set(words)
+    if known & BOILER_WORDS:
+        rest = set(dropwhile(WHOSE_WORDS.__contains__, words))
+        return "named" if rest <= BOILER_WORDS | PART_WORDS else None
+    if known & HEADER_WORDS:
+        return "head" if known <= HEADER_WORDS | PART_WORDS | MAIN_WORDS | WHOSE_WORDS else None
+    return "content" if known & MAIN_WORDS else None
+
+
 def _mark(name: str, attrs: str) -> str | None:
-    """``boiler``, ``header``, ``form``, ``main`` or None for an element."""
-    words: set[str] = set()
+    """What an element says of itself.
+
+    ``boiler``, ``header``, ``form`` and ``main`` are said by the element or
+    an attribute, ``named``, ``head`` and ``content`` by a word; ``back`` is a
+    main element with a name of boilerplate, ``mixed`` has words of both.
+    """
+    if name == "body":
+        return None
+    said: dict[str, str] = {}
     if len(attrs) > 3:
-        for key, value in ATTRIBUTE.findall(attrs):
-            key = key.lower()
-            if key == "hidden" or key == "aria-hidden" and "true" in value.lower():
-                return "boiler"
-            words.update(WORD.findall(value.lower()))
-    if name in BOILER_TAGS or words & BOILER_WORDS:
+        for key, *values in ATTRIBUTE.findall(attrs):
+            said.setdefault(key.lower(), "".join(values))
+    if name in BOILER_TAGS or "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true":
         return "boiler"
-    if name == "header" or words & HEADER_WORDS:
-        return "header"
+    if name == "header":
+        return name
+    tokens = [t for key in ("class", "id", "role") if key in said for t in html.unescape(said[key]).split()]
+    words = {_named(t) for t in tokens}
+    main = name in MAIN_TAGS or said.get("role", "").strip().lower() in MAIN_TAGS
+    if "named" in words:
+        if main and (name == "main" or not any(t.lower() in REPLY_WORDS for t in tokens)):
+            return "back"
+        return "mixed" if "content" in words else "named"
+    if "head" in words:
+        return "head"
     if name == "form" or name == "fieldset":
         return "form"
-    if name in MAIN_TAGS or words & MAIN_WORDS:
-        return "main"
-    return None
+    return "main" if main else "content" if "content" in words else None
 
 
 class Block:
@@ -80,12 +111,22 @@ class Block:
 
 
 def _inside(state: str | None, mark: str | None) -> str | None:
-    """State of an element within one of ``state``: boilerplate holds, a header in the article keeps its headings."""
+    """State of an element within one of ``state``.
+
+    Boilerplate holds; what is so by name alone holds up to a main element.
+    A header in the article keeps its headings.
+    """
     if state == "boiler" or mark is None:
         return state
+    if state == "named":
+        return "boiler" if mark == "boiler" else "back" if mark in ("main", "back") else state
     if mark == "header":
-        return "title" if state == "main" else "header"
-    return mark
+        return "title" if state in ("main", "back") else mark
+    if mark == "head":
+        return "heading" if state in ("main", "back") else mark
+    if mark in ("main", "content"):
+        return "back" if state == "back" else "main"
+    return "back" if mark == "mixed" else mark
 
 
 def blocks(page: str) -> list[Block]:
@@ -174,10 +215,14 @@ def score(b: Block) -> float:
     """Log-odds that a block is content: its place, then length, links and punctuation."""
     if b.state in ("boiler", "header", "form"):
         return -HARD
+    if b.state in ("title", "heading") and b.tag in HEADINGS:
+        return INSIDE
     if b.state == "title":
-        return INSIDE if b.tag in HEADINGS else -HARD
+        return -HARD
     n = len(b.text)
-    s = INSIDE if b.state == "main" else -0.5
+    s = INSIDE if b.state in ("main", "back") else OUTSIDE
+    if b.state in ("back", "named", "head", "heading"):
+        s -= NAMED
     if b.tag == "p" or b.tag in HEADINGS:
         s += 1.0
     elif b.tag == "li":

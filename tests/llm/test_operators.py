@@ -284,6 +284,24 @@ def test_page_text(spark):
     assert got[1] == "Big & bold\nOne two three.\nFour five." and got[2] == got[3] == got[5] == ""
 
 
+def test_page_marks_are_whole_names_that_content_outvotes():
+    long = "A sentence of a real story, with some words in it. " * 6
+    p, want = f"<p>{long}</p>", " ".join(long.split())
+    keeps = [f'<body class="has-sidebar hidden">{p}', f'<div class="content no-comments">{p}</div>', f'<div id="layout-with-sidebar">{p}</div>',
+             f'<div class="no-header">{p}</div>', f'<article data-title="the hidden cost">{p}</article>', f"<main title=' aria-hidden=true '>{p}</main>",
+             f'<p title="a class=ad b">{long}</p>', f'<article class="post popular">{p}</article>', f'<div class="content share">{p}</div>',
+             *[f'<div class="{w}"><article>{p}</article><p>Short words.</p></div>' for w in ("sidebar", "side", "social", "share", "notice reply")],
+             f'<div id="popular"><main class="related">{p}</main></div>']
+    assert [html_extract.main_text(x) for x in keeps] == [want] * len(keeps)
+    for mark in ('class="notice"', 'class="header"'):  # among content, the cut keeps a long paragraph with a name
+        assert html_extract.main_text(f"<article>{p}<p {mark}>{long}</p>{p}</article>") == "\n".join([want] * 3)
+        assert html_extract.main_text(f"<article>{p}<div {mark}>Buy it</div>{p}</article>") == "\n".join([want] * 2)
+    drops = ["hidden", "hidden=x", "HIDDEN=''", "aria-hidden='true'", "class=ad", 'class="x  Sidebar y"', "id='post-comments'", 'role="navigation"',
+             'class="cookie-notice"', 'class="widget-3"', 'class="site-footer"']
+    assert [html_extract.main_text(f"<article>{p}</article><div {x}>{p}</div>") for x in drops] == [want] * len(drops)
+    assert html_extract.main_text(f"<div hidden><article>{p}</article></div><article>{p}</article>") == want
+
+
 # --- 10 vectors ------------------------------------------------------------------------------
 def test_vectors_equal_brute_force(spark, scratch_tables):
     g = np.random.default_rng(1)
