@@ -10,12 +10,15 @@ number of partitions, not the number of rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.session import ensure_checkpoint_dir, size_partitions
+from starlens.session import ensure_checkpoint_dir, shared_path, size_partitions
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 
@@ -47,25 +50,39 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], out: str = "row_ind
 
 
 def row_slice(df: DataFrame, order_cols: Sequence[str], lo: int, hi: int, out: str = "row_index") -> DataFrame:
-    """Rows whose 1-based position is in (lo, hi].
+    """Rows whose 1-based position is in (lo, hi]; null keys come first, rows of equal keys in any order.
 
-    Only the key columns are range-partitioned and checkpointed; the at
-    most ``hi - lo`` keys of the slice then pick the wide rows.
+    Only the distinct keys with their counts are range-partitioned and
+    checkpointed; the at most ``hi - lo`` keys of the slice then pick the
+    wide rows. These are written once with a number each, so that rows of
+    equal keys have positions of their own.
     """
-    idx = with_row_index(df.select(*order_cols), order_cols, out)
-    keys = idx.filter((F.col(out) > lo) & (F.col(out) <= hi))
-    return df.join(F.broadcast(keys), list(order_cols)).select(*df.columns, out)
-
-
-def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
+    spark = df.sparkSession
+    counts = df.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("__n"))
+    inside = (prefix_sums(counts, order_cols, ["__n"])
+              .where((F.col("__n_before") < hi) & (F.col("__n_before") + F.col("__n") > lo)))
+    first = inside.agg(F.min("__n_before").alias("__first"))
+    keys = inside.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(order_cols)])
+    same = reduce(and_, [df[c].eqNullSafe(keys[f"__key{i}"]) for i, c in enumerate(order_cols)])
+    rows = df.join(F.broadcast(keys), same, "left_semi").withColumn("__row", F.monotonically_increasing_id())
+    path = shared_path(spark, "slices", uuid.uuid4().hex)
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    idx = (with_row_index(rows.select(*order_cols, "__row"), [*order_cols, "__row"], "__at")
+           .crossJoin(F.broadcast(first)).select("__row", (F.col("__first") + F.col("__at")).alias(out)))
+    idx = idx.where((F.col(out) > lo) & (F.col(out) <= hi))
+    return rows.join(F.broadcast(idx), "__row").select(*df.columns, out)
+
+
+def prefix_sums(df: DataFrame, order_col: str | Sequence[str], value_cols: Sequence[str],
                 partitions: int | None = None, suffix: str = "_before") -> DataFrame:
     """For each row, the sum of each value over all rows with a smaller key.
 
-    ``order_col`` must be unique (aggregate first).  The running sum
+    ``order_col``, one or several, must be unique (aggregate first).  The running sum
     inside a partition is a window keyed by the partition index; the
     partition offsets come from a table with one row per partition.
     """
-    ranged = _ranged(df, [order_col], partitions)
+    ranged = _ranged(df, [order_col] if isinstance(order_col, str) else order_col, partitions)
     sums = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(wp), F.lit(0)).alias(f"_o_{v}")

@@ -1,6 +1,7 @@
 """Row index, prefix sums, keyed split and AUC: exact and partition-invariant."""
 
 import random
+from collections import Counter
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Window
@@ -21,6 +22,21 @@ def test_row_index_partition_invariant(spark):
     assert sorted(r.row_index for r in sl.collect()) == [101, 102, 103, 104, 105]
 
 
+def test_row_slice_of_ties_and_null_keys(spark):
+    hot = [(7, "a", f"h{i}") for i in range(300)]
+    rows = hot + [(i, None if i % 3 else "b", f"v{i}") for i in range(300)] * 2 + [(None, None, f"n{i}") for i in range(5)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, l string, v string").repartition(5)
+    for cols in (["k"], ["l"], ["k", "l"]):
+        ranked = df.withColumn("row_index", F.row_number().over(Window.orderBy(*cols)))
+        for lo, hi in ((0, 3), (2, 30), (100, 200), (890, 2000), (905, 910)):
+            got = ordering.row_slice(df, cols, lo, hi).collect()
+            want = ranked.where((F.col("row_index") > lo) & (F.col("row_index") <= hi)).collect()
+            at = [(r.row_index, *[r[c] for c in cols]) for r in want]
+            assert sorted(((r.row_index, *[r[c] for c in cols]) for r in got), key=lambda x: x[0]) == sorted(at, key=lambda x: x[0])
+            assert not Counter((r.k, r.l, r.v) for r in got) - Counter(rows)  # no row twice
+
+
 def test_prefix_sums(spark):
     rows = [(float(i), i % 3, 1) for i in range(500)]
     df = spark.createDataFrame(rows, "s double, a int, b int")
