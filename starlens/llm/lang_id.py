@@ -196,6 +196,10 @@ def cut(text: bytes, window: int) -> tuple[np.ndarray, int, int]:
     return np.concatenate([rows, raw[None, n - window:]]), rest, window - rest
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))  # stops at the first letter
+
+
 def predict_texts(m: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and mean probability of each text; ``und`` and 0 for null or letterless text."""
     k = len(m.langs)
@@ -219,7 +223,7 @@ def predict_texts(m: Model, texts: list[str | None]) -> tuple[list[str], list[fl
         rows, owner, weights, held = [], [], [], 0
 
     for i, text in enumerate(texts):
-        if text is None or not any(map(str.isalpha, text)):  # stops at the first letter
+        if not has_letter(text):
             continue
         raw = text.encode("utf-8", "replace")
         count[i] = len(raw)
@@ -306,3 +310,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_t
                 names=[*back, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text :func:`predict` labels if there is a model."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(x.as_py()) for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
