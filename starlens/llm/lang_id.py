@@ -249,25 +249,24 @@ def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col:
                      per_lang: int, per_doc: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A bounded sample: ids are ranked without their texts, then only chosen texts are cut.
 
-    Only ids whose hash lies in the share that holds about twice ``per_lang``
-    of a language's rows are ranked, so a common language is no large task.
-    Rows that repeat an id count once.
+    Ids with a text that is not empty are counted and ranked once for each of
+    their languages. Only those whose hash lies in the share that holds about
+    twice ``per_lang`` are ranked, so a common language is no large task.
     """
     rank = Window.partitionBy("lang").orderBy("order", "id")
-    ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                          F.md5(F.col(id_col).cast("string")).alias("order"))
-    ids = ids.where(F.col("lang").isNotNull() & F.col("id").isNotNull())
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
+                            F.col(text_col).cast("string").alias("text"))
+    texts = texts.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.octet_length("text") > 0))
+    ids = texts.select("id", "lang").distinct().withColumn("order", F.md5(F.col("id").cast("string")))
     counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / (1 << 32)
     chosen = (ids.join(F.broadcast(counts), "lang").where(place * F.col("n") < 2 * per_lang + 200)
-              .select("id", "lang", "order").distinct()
               .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_lang).select("id", "lang"))
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     raw = F.encode("text", "utf-8")
     room = F.greatest(F.octet_length("text") - window, F.lit(0)) + 1
     starts = [F.pmod(F.xxhash64("id", F.lit(k)), room.cast("long")).cast("int") + 1 for k in range(per_doc)]
     # at most per_lang rows a language, and the model has an output for each language
-    rows = (texts.where(F.octet_length("text") > 0).join(F.broadcast(chosen), "id")
+    rows = (texts.join(F.broadcast(chosen), ["id", "lang"])
             .select("id", "lang", F.array(*[F.substring(raw, s, F.lit(window)) for s in starts]).alias("w"))
             .groupBy("id", "lang").agg(F.min("w").alias("w")).collect())
     langs = sorted({r["lang"] for r in rows})

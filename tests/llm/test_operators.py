@@ -181,6 +181,16 @@ def test_language_held_out_accuracy_and_edges(spark, sf_small):
     assert lang_id.predict(docs(spark, [(1, "x")]), None).first().lang_pred == "und"
 
 
+def test_training_sample_is_whole_with_repeats_and_empty_texts(spark):
+    rows = [(i, f"aa {i}", "aa") for i in range(5)] * 2000
+    rows += [(10_000 + i, (None, "")[i % 2] if i >= 20 else f"bb {i}", "bb") for i in range(4000)]
+    rows += [(20_000 + i, f"cc {i}", "cc") for i in range(3000)] + [(0, "dd", None), (None, "dd", "dd")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, y, langs = lang_id.training_windows(labelled, "doc_id", "text", "lang", 8, per_lang=10, per_doc=3)
+    assert langs == ["aa", "bb", "cc"] and np.bincount(y).tolist() == [15, 30, 30]
+    assert all(bytes(w).startswith(langs[k].encode()) for w, k in zip(x, y) if k < 2)
+
+
 def test_every_position_counts_once():
     for n in (1, 15, 16, 17, 31, 32, 40):
         x, new, start = lang_id.cut(bytes(range(n)), 16)
