@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators and their queries.
+"""Training-data operators: thirteen numbered operators and their queries.
 
 Nothing outside this package imports it; ``__spark_entry__`` adds its
 queries when the package is present.

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.llm import decontam, embed_dup, html_extract, lang_id, line_dedup, lm_score, near_dup, packing, url_rules, warc
+from starlens.llm import (centroids, decontam, embed_dup, html_extract, lang_id, line_dedup, lm_score, near_dup, packing,
+                          quality, url_rules, warc, whiten)
 from starlens.llm.scratch import Scratch
 
 TOKENIZERS = os.environ.get("STARLENS_TOKENIZERS", "/opt/tokenizers")
@@ -176,3 +177,52 @@ def op10_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at cosine 0.98."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return embed_dup.near_vectors(vectors, Scratch(spark, "op10"))
+
+
+@query("op11_whiten")
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector; a deviation that no long holds is null."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whiten.transform(vectors, whiten.fit(vectors, Scratch(spark, "op11")))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Chained assignments and updates; floors by the remainder, as ``//`` cuts towards zero."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, b.d AS distance, b.k AS cluster FROM (
+  SELECT vec_id, any_value(x) AS x, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT, 'k': k}}) AS b
+  FROM v, c{r} GROUP BY vec_id))""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+  SELECT cluster, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS m FROM (
+    SELECT cluster, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY cluster, i) GROUP BY cluster)
+  ON cluster = k)""")
+    return ",\n".join(steps)
+
+
+@query("op12_centroids", f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS k, x AS c
+  FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),
+{_rounds_sql(5)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON k = cluster""")
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rounds of forty centroids over all vectors of 64 components."""
+    out = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark, "op12"))
+    return out.select(
+        "vec_id", "cluster", "distance", F.col("cluster_inertia").try_cast("long").alias("cluster_inertia"),
+        F.col("inertia").try_cast("long").alias("inertia"),
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels of four fifths of the ids."""
+    held_out = _remainder(5) == 0
+    return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"),
+                                   ~held_out, Scratch(spark, "op13"), keep={"held_out": held_out})
