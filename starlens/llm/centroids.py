@@ -38,15 +38,22 @@ def kept_vectors(vectors: DataFrame, dims: int, scale: int, id_col: str, vec_col
     return x.withColumn("norm", F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v * v))
 
 
+def literal(numbers: list[int], kind: str = "bigint") -> str:
+    """SQL of a constant array, one string that the planner folds."""
+    return f"cast(split('{','.join(map(str, numbers))}', ',') AS array<{kind}>)"
+
+
 def nearest(centroids: list[list[int]]) -> Column:
-    """Struct (distance, cluster) of the nearest centroid to ``x``; the smaller number on ties."""
-    zero = F.lit(0).cast("long")
+    """Struct (distance, cluster) of the nearest centroid to ``x``; the smaller number on ties.
 
-    def distance(c: list[int]) -> Column:
-        products = F.zip_with("x", F.lit(c).cast("array<bigint>"), lambda a, b: a * b)
-        return F.col("norm") - F.lit(2) * F.aggregate(products, zero, lambda s, v: s + v) + F.lit(sum(v * v for v in c)).cast("long")
+    One SQL expression: built call by call from Python it takes seconds.
+    """
+    def distance(c: list[int]) -> str:
+        products = f"zip_with(x, {literal(c)}, (a, b) -> a * b)"
+        return f"norm - 2 * aggregate({products}, 0L, (s, v) -> s + v) + {sum(v * v for v in c)}L"
 
-    return F.array_min(F.array(*[F.struct(distance(c).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)]))
+    return F.expr("array_min(array(" + ", ".join(f"named_struct('distance', {distance(c)}, 'cluster', {i})"
+                                                 for i, c in enumerate(centroids)) + "))")
 
 
 def first_centroids(kept: DataFrame, k: int, seed: str) -> list[list[int]]:
@@ -60,7 +67,7 @@ def moved(kept: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """Every centroid's floored mean of its vectors; one without vectors stays."""
     dims = len(centroids[0])
     sums = (kept.select(nearest(centroids)["cluster"].alias("cluster"), "x").groupBy("cluster")
-            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[d]).alias(f"s{d}") for d in range(dims)]).collect())
+            .agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"sum(x[{d}]) AS s{d}") for d in range(dims)]).collect())
     out = list(centroids)
     for r in sums:
         out[r["cluster"]] = [r[f"s{d}"] // r["n"] for d in range(dims)]
@@ -81,9 +88,12 @@ def cluster(vectors: DataFrame, scratch: Scratch, k: int = 40, rounds: int = 5,
     sums = chosen.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(28,0)")).alias("s")).collect()  # k rows
     of = {r["cluster"]: int(r["s"]) for r in sums}
     at = F.col("cluster")
-    per = F.lit([str(of.get(i, 0)) for i in range(len(centroids))]).cast("array<decimal(38,0)>")
+    if not centroids:
+        return chosen.select(F.col("id").alias(id_col), "cluster", "distance", *[F.lit(0).cast("decimal(38,0)").alias(c) for c in
+                             ("cluster_inertia", "inertia")], F.array().cast("array<bigint>").alias("centroid"))
+    per = F.expr(literal([of.get(i, 0) for i in range(len(centroids))], "decimal(38,0)"))
+    means = F.expr(f"array({', '.join(map(literal, centroids))})")
     return chosen.select(
         F.col("id").alias(id_col), "cluster", "distance", F.get(per, at).alias("cluster_inertia"),
         F.lit(str(sum(of.values()))).cast("decimal(38,0)").alias("inertia"),
-        F.get(F.lit(centroids).cast("array<array<bigint>>") if centroids else F.array(F.array().cast("array<bigint>")), at)
-        .alias("centroid"))
+        F.get(means, at).alias("centroid"))
