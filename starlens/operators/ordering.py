@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from starlens.session import ensure_checkpoint_dir, shared_path, size_partitions
 
+SMALL_SLICE = 100_000  # rows whose keys may be broadcast
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
 
 
@@ -55,8 +56,11 @@ def row_slice(df: DataFrame, order_cols: Sequence[str], lo: int, hi: int, out: s
     Only the distinct keys with their counts are range-partitioned and
     checkpointed; the at most ``hi - lo`` keys of the slice then pick the
     wide rows. These are written once with a number each, so that rows of
-    equal keys have positions of their own.
+    equal keys have positions of their own. Keys and numbers of a slice of at
+    most ``SMALL_SLICE`` rows are sent to all tasks; a longer slice is joined
+    as the planner sees fit.
     """
+    small = F.broadcast if hi - lo <= SMALL_SLICE else (lambda side: side)
     spark = df.sparkSession
     counts = df.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("__n"))
     inside = (prefix_sums(counts, order_cols, ["__n"])
@@ -64,14 +68,14 @@ def row_slice(df: DataFrame, order_cols: Sequence[str], lo: int, hi: int, out: s
     first = inside.agg(F.min("__n_before").alias("__first"))
     keys = inside.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(order_cols)])
     same = reduce(and_, [df[c].eqNullSafe(keys[f"__key{i}"]) for i, c in enumerate(order_cols)])
-    rows = df.join(F.broadcast(keys), same, "left_semi").withColumn("__row", F.monotonically_increasing_id())
+    rows = df.join(small(keys), same, "left_semi").withColumn("__row", F.monotonically_increasing_id())
     path = shared_path(spark, "slices", uuid.uuid4().hex)
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     idx = (with_row_index(rows.select(*order_cols, "__row"), [*order_cols, "__row"], "__at")
            .crossJoin(F.broadcast(first)).select("__row", (F.col("__first") + F.col("__at")).alias(out)))
     idx = idx.where((F.col(out) > lo) & (F.col(out) <= hi))
-    return rows.join(F.broadcast(idx), "__row").select(*df.columns, out)
+    return rows.join(small(idx), "__row").select(*df.columns, out)
 
 
 def prefix_sums(df: DataFrame, order_col: str | Sequence[str], value_cols: Sequence[str],

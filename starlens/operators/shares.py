@@ -15,6 +15,32 @@ from pyspark.sql import functions as F
 from starlens.operators.profile import group_count
 
 
+def grouping_feeds(df: DataFrame, feeds: dict[str, Sequence[str]], sums: Sequence[str] = (), count_name: str = "count") -> DataFrame:
+    """Several group-bys of one table in one scan: ``(feed, *keys, count, *sums)``.
+
+    The rows are first reduced to one per combination of all keys, partially
+    before the shuffle, and the grouping sets run on that table alone, so the
+    input is neither scanned nor multiplied once for each feed.  A feed's
+    unused keys are null; ``feed`` tells its rows from those of a null key.
+    """
+    keys = list(dict.fromkeys(k for used in feeds.values() for k in used))
+    if len({frozenset(used) for used in feeds.values()}) != len(feeds):
+        raise ValueError("two feeds have the same keys")
+    finest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name), *[F.sum(s).alias(s) for s in sums])
+    sets = [[F.col(k) for k in used] for used in feeds.values()]
+    grouped = finest.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("__set"), F.sum(count_name).alias(count_name), *[F.sum(s).alias(s) for s in sums])
+    # a set's id has a bit for every key it leaves out, the first key's the highest
+    ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in used): name for name, used in feeds.items()}
+    feed = F.element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("__set").cast("int"))
+    return grouped.select(feed.alias("feed"), *keys, count_name, *sums)
+
+
+def feed_rows(grouped: DataFrame, feed: str, *columns: str) -> DataFrame:
+    """One feed's rows of :func:`grouping_feeds`."""
+    return grouped.where(F.col("feed") == feed).select(*columns)
+
+
 def percent_of_partition(counts: DataFrame, count_col: str, partition_cols: Sequence[str],
                          out: str = "percentage") -> DataFrame:
     """``count / sum(count) over (partition by ...) * 100``."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,6 +207,59 @@ def q_stacked_baselines(spark, d):
     return shares.stacked_baselines(engagement(spark, d), "sentiment", _ENG)
 
 
+# --- A2 / A6 / C1-C4, C8: all review feeds from one scan ---------------------------
+REVIEW_FEEDS = {"stars": ["stars"], "sentiment": ["sentiment"], "engagement": ["useful", "funny", "cool"], "total": []}
+
+
+def review_feeds(spark, d):
+    r = E.reviews(spark, d).withColumn("sentiment", sentiment("stars"))
+    sums = r.select("stars", "sentiment", "useful", "funny", "cool", *[F.col(c).alias(f"{c}_count") for c in ("useful", "cool", "funny")])
+    return shares.grouping_feeds(sums, REVIEW_FEEDS, ["useful_count", "cool_count", "funny_count"])
+
+
+register("review_feeds", f"""
+SELECT CASE WHEN grouping(stars) = 0 THEN 'stars' WHEN grouping(sentiment) = 0 THEN 'sentiment'
+            WHEN grouping(useful) = 0 THEN 'engagement' ELSE 'total' END AS feed, stars, sentiment, useful, funny, cool,
+       count(*) AS count, CAST(sum(useful_count) AS BIGINT) AS useful_count, CAST(sum(cool_count) AS BIGINT) AS cool_count,
+       CAST(sum(funny_count) AS BIGINT) AS funny_count
+  FROM (SELECT stars, {SQL_SENTIMENT.format(r='stars')} AS sentiment, useful, funny, cool,
+               useful AS useful_count, cool AS cool_count, funny AS funny_count FROM {SQL_REVIEWS})
+ GROUP BY GROUPING SETS ((stars), (sentiment), (useful, funny, cool), ())
+""")(review_feeds)
+
+
+@register("dashboard", f"""
+WITH r AS (SELECT *, {SQL_SENTIMENT.format(r='stars')} AS sentiment FROM {SQL_REVIEWS}),
+     e AS (UNPIVOT {SQL_ENGAGEMENT} ON useful_count, cool_count, funny_count INTO NAME component VALUE value)
+SELECT 'rating' AS chart, CAST(stars AS VARCHAR) AS category, NULL AS series, count(*) AS value,
+       round(count(*) / (SELECT count(*) FROM r) * 100, {R6}) AS share_pct FROM r GROUP BY stars
+UNION ALL SELECT 'two_class', CAST(stars AS VARCHAR), NULL, count(*),
+       round(count(*) / (SELECT count(*) FROM r WHERE stars IN (1, 5)) * 100, {R6}) FROM r WHERE stars IN (1, 5) GROUP BY stars
+UNION ALL SELECT 'sentiment', sentiment, NULL, count(*), round(count(*) / (SELECT count(*) FROM r) * 100, {R6}) FROM r GROUP BY sentiment
+UNION ALL SELECT 'engagement', sentiment, component, value,
+       round(CAST(value AS DOUBLE) / nullif(sum(value) OVER (PARTITION BY sentiment), 0) * 100, {R6}) FROM e
+""")
+def dashboard(spark, d):
+    """The review charts (C1-C4, C8) in long form, all from the same grouped table."""
+    g = review_feeds(spark, d)
+
+    def bar(chart, category, value, series=None):
+        return F.struct(F.lit(chart).alias("chart"), F.col(category).cast("string").alias("category"),
+                        F.lit(series).cast("string").alias("series"), F.col(value).alias("value"))
+
+    stars, of_sentiment = F.col("feed") == "stars", F.col("feed") == "sentiment"
+    bars = F.array_compact(F.array(
+        F.when(stars, bar("rating", "stars", "count")),
+        F.when(stars & F.col("stars").isin(1.0, 5.0), bar("two_class", "stars", "count")),
+        F.when(of_sentiment, bar("sentiment", "sentiment", "count")),
+        *[F.when(of_sentiment, bar("engagement", "sentiment", c, c)) for c in _ENG]))
+    both = g.select(F.explode(bars).alias("bar")).select("bar.*")
+    # one row a bar: windows over aggregated rows only
+    part = F.when(F.col("chart") == "engagement", F.col("category"))
+    share = F.try_divide(F.col("value").cast("double"), F.sum("value").over(Window.partitionBy("chart", part))) * 100
+    return both.withColumn("share_pct", F.round(share, R6))
+
+
 # --- A3 / A4 group counts -------------------------------------------------------
 @register("group_count_one", f"SELECT useful, count(*) AS count FROM {SQL_REVIEWS} GROUP BY useful")
 def group_count_one(spark, d):

@@ -7,6 +7,9 @@ model queries (``plans.models``) run the same operators on real fits.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from starlens.operators import evaluate, ordering, split, terms
@@ -67,6 +70,60 @@ def confusion_matrix(spark, d):
     return evaluate.confusion_matrix(rule_predictions(spark, d))
 
 
+# --- A9 / A12 with open classes: the language by its letters -----------------------------
+SQL_LETTERS = """(SELECT lang AS label, CASE WHEN n_chars % 50 = 7 THEN NULL WHEN text LIKE '%ß%' OR text LIKE '%ü%' THEN 'de'
+        WHEN text LIKE '%ç%' OR text LIKE '%ê%' THEN 'fr' WHEN text LIKE '%ñ%' OR text LIKE '%ción%' THEN 'es'
+        WHEN text LIKE '%0%' THEN 'digits' WHEN text IS NOT NULL THEN 'en' END AS prediction FROM documents)"""
+
+
+def letter_predictions(spark, d):
+    """A rule of several classes, one of them no label, with rows it leaves undecided."""
+    has = lambda *marks: reduce(or_, [F.col("text").contains(m) for m in marks])
+    rule = (F.when(F.col("n_chars") % 50 == 7, None).when(has("ß", "ü"), "de").when(has("ç", "ê"), "fr").when(has("ñ", "ción"), "es")
+            .when(has("0"), "digits").when(F.col("text").isNotNull(), "en"))
+    return read_table(spark, d, "documents", "text", "lang", "n_chars").select(F.col("lang").alias("label"), rule.alias("prediction"))
+
+
+@register("cross_tab", f"SELECT label, prediction, count(*) AS count FROM {SQL_LETTERS} GROUP BY label, prediction")
+def cross_tab(spark, d):
+    return evaluate.cross_tab(letter_predictions(spark, d))
+
+
+@register("cross_tab_wide", f"""
+SELECT label, {", ".join(f"CAST(count_if(prediction = '{c}') AS BIGINT) AS {c}" for c in ("de", "en", "es", "fr"))},
+       CAST(count_if(prediction IS NULL) AS BIGINT) AS "{evaluate.NULL_CLASS}" FROM {SQL_LETTERS} WHERE prediction IS DISTINCT FROM 'digits' GROUP BY label
+""")
+def cross_tab_wide(spark, d):
+    """The columns are the classes that the data hold; the twin names those of the given tables."""
+    rows = letter_predictions(spark, d)
+    return evaluate.cross_tab_wide(rows.where(F.col("prediction").isNull() | (F.col("prediction") != "digits")))
+
+
+SQL_CLASSES = f"""(SELECT class, CAST(sum(a) AS BIGINT) AS actual, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(h) AS BIGINT) AS hits FROM (
+   SELECT label AS class, 1 AS a, 0 AS p, CASE WHEN label = prediction THEN 1 ELSE 0 END AS h FROM {SQL_LETTERS} WHERE label IS NOT NULL
+   UNION ALL SELECT prediction, 0, 1, 0 FROM {SQL_LETTERS} WHERE label IS NOT NULL AND prediction IS NOT NULL) GROUP BY class)"""
+
+
+@register("class_metrics", f"""
+SELECT class, actual, predicted, hits, round(hits / nullif(predicted, 0), {R6}) AS precision,
+       round(hits / nullif(actual, 0), {R6}) AS recall, round(2 * hits / nullif(actual + predicted, 0), {R6}) AS f1 FROM {SQL_CLASSES}
+""")
+def class_metrics(spark, d):
+    m = evaluate.class_metrics(letter_predictions(spark, d))
+    return m.select("class", "actual", "predicted", "hits", *[F.round(c, R6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("averaged_metrics", f"""
+WITH m AS (SELECT actual, hits, coalesce(hits / nullif(predicted, 0), 0) AS precision, hits / actual AS recall,
+                  2 * hits / (actual + predicted) AS f1 FROM {SQL_CLASSES} WHERE actual > 0)
+SELECT CAST(sum(actual) AS BIGINT) AS n, count(*) AS n_classes, round(sum(hits) / sum(actual), {R6}) AS accuracy,
+       {", ".join(f"round(sum({m} * actual) / sum(actual), {R6}) AS weighted_{m}, round(avg({m}), {R6}) AS macro_{m}" for m in ("precision", "recall", "f1"))} FROM m
+""")
+def averaged_metrics(spark, d):
+    m = evaluate.averaged_metrics(letter_predictions(spark, d))
+    return m.select("n", "n_classes", *[F.round(c, R6).alias(c) for c in m.columns if c not in ("n", "n_classes")])
+
+
 @register("binary_metrics", f"""
 WITH c AS (SELECT count_if(label = 1.0 AND prediction = 1.0) AS tp, count_if(label = 0.0 AND prediction = 1.0) AS fp,
                   count_if(label = 0.0 AND prediction = 0.0) AS tn, count_if(label = 1.0 AND prediction = 0.0) AS fn,

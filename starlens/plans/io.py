@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starlens.plans.registry import register
 from starlens.session import shared_path
-from starlens.sources import csv
+from starlens.sources import csv, csv_ranges
 from starlens.sources.tables import read_table
 
 _DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,3 +48,13 @@ def csv_bad_rows(spark, d):
     good, bad = csv.read_csv_checked(spark, path, csv.string_schema(["a", "b"]), multiline=False, header=False)
     return (good.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("good"))
             .unionByName(bad.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("bad"))))
+
+
+@register("csv_by_ranges", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_by_ranges(spark, d):
+    """The same trip, the files read by ranges: line breaks in texts end no record."""
+    path = shared_path(spark, "csv", f"ranges-{uuid.uuid4().hex}")
+    csv.write_csv(read_table(spark, d, "documents", *_DOC_COLS), path)
+    raw = csv_ranges.read_csv_ranges(spark, path, csv.string_schema(_DOC_COLS))
+    return raw.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "text", "lang", "source",
+                      F.col("n_chars").try_cast("bigint").alias("n_chars"))

@@ -69,11 +69,29 @@ def source_bytes(df) -> int:
     """Bytes of the sources that ``df`` reads: the sum over its plan's leaves.
 
     A join's own estimate multiplies its sides; the sum of what is read
-    does not.  Sources without statistics count as nothing.
+    does not.  A checkpoint is a leaf that keeps the estimate of the plan it
+    came from, so its files are measured instead; other rows held by Spark
+    (an RDD, a local list) and sources without statistics count as nothing.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(b for b in sizes if b < UNKNOWN_SIZE)
+    total = 0
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            total += _checkpoint_bytes(df.sparkSession, leaf.rdd())
+        else:
+            size = int(str(leaf.stats().sizeInBytes()))
+            total += size if size < UNKNOWN_SIZE else 0
+    return total
+
+
+def _checkpoint_bytes(spark: SparkSession, rdd) -> int:
+    """Bytes of a checkpointed RDD's files, 0 without a checkpoint."""
+    file = rdd.getCheckpointFile()
+    if file.isEmpty():
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return int(path.getFileSystem(conf).getContentSummary(path).getLength())
 
 
 def size_partitions(df, target_bytes: int = 128 << 20, expansion: int = 4) -> int:

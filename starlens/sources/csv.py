@@ -6,8 +6,8 @@
 * ``read_csv_checked`` keeps malformed records apart instead of failing
   the job or silently dropping them: a record with too many or too few
   fields lands in the ``bad`` frame with its raw text.
-* A multi-line CSV file cannot be split, so one file is one task; ingest
-  many files, or write the parsed result to Parquet once and read that.
+* Spark reads a multi-line CSV file in one task; ``csv_ranges`` reads a big
+  one in many.
 """
 
 from __future__ import annotations

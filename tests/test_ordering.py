@@ -105,3 +105,17 @@ def test_duplicate_count_of_empty_table(spark):
 
     row = profile.duplicate_count(spark.createDataFrame([], "k int"), "k").collect()[0]
     assert (row.n_rows, row.n_distinct, row.n_duplicates) == (0, 0, 0)
+
+
+def test_partition_count_behind_a_checkpoint_is_that_of_its_files(spark, sf_small):
+    from starlens.session import size_partitions, source_bytes
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet")
+    joined = docs.join(labels, "doc_id")
+    kept = joined.checkpoint()
+    whole = source_bytes(docs) + source_bytes(labels)
+    assert 0 < source_bytes(kept) < 4 * whole
+    assert 0 < source_bytes(docs.join(kept.select("doc_id"), "doc_id", "left_semi").checkpoint()) < 4 * whole
+    again = kept.join(kept.select("doc_id").distinct(), "doc_id").checkpoint()
+    assert size_partitions(again) <= 2 * size_partitions(joined)
