@@ -17,11 +17,14 @@ unsalted.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starlens.session import shared_path
+
 ROWS_PER_SALT = 1_000_000
 
 
@@ -73,3 +76,25 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame,
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
          .drop("_salts"))
     return b.join(s, [key, "_salt"], how).drop("_salt")
+
+
+# --- tables laid out for repeated joins -------------------------------------------------------
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str | None = None) -> str:
+    """Write ``df`` once as a table of ``buckets`` hash buckets on ``key``, sorted by it; returns its name.
+
+    Two tables with equal buckets on a key join on it without a shuffle of
+    either, as often as wanted: the exchange is paid at the write. The files
+    lie in the shared folder, the name in the session's catalog.
+    """
+    name = name or f"starlens_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", shared_path(df.sparkSession, "bucketed", name)).format("parquet").saveAsTable(name))
+    return name
+
+
+def bucketed_join(left_table: DataFrame, right_table: DataFrame, key: str, left_prefix: str, right_prefix: str) -> DataFrame:
+    """``prefixed_inner_join`` of two tables with equal buckets, planned as a merge join of buckets.
+
+    A hot key is one bucket, which is one task: for such keys take ``salted_join``.
+    """
+    return prefixed_inner_join(left_table.hint("merge"), right_table, key, left_prefix, right_prefix)

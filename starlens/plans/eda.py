@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starlens.functions.labels import STAR_BUCKETS, binary_label, rating_as_int, sentiment, star_bucket
-from starlens.operators import profile, shares
-from starlens.operators.joins import prefixed_inner_join
+from starlens.operators import profile, shares, sketches
+from starlens.operators.joins import bucketed_join, prefixed_inner_join, write_bucketed
 from starlens.plans import entities as E
 from starlens.plans.registry import register
 from starlens.sources.inspect import head_rows, schema_report, table_shape
@@ -293,6 +293,27 @@ def join_shape(spark, d):
     return table_shape(joined_reviews(spark, d))
 
 
+JOIN_BUCKETS = 8
+
+
+@register("join_bucketed", f"""
+SELECT 'by business' AS join_on, count(*) AS n, CAST(sum(useful) AS BIGINT) AS useful, round(sum(b.stars), {R6}) AS stars
+  FROM {SQL_REVIEWS} r JOIN {SQL_BUSINESSES} b ON r.business_id = b.business_id
+UNION ALL
+SELECT 'above average', count(*), CAST(sum(useful) AS BIGINT), round(sum(b.stars), {R6})
+  FROM {SQL_REVIEWS} r JOIN {SQL_BUSINESSES} b ON r.business_id = b.business_id WHERE r.stars > b.stars
+""")
+def join_bucketed(spark, d):
+    """Two joins of tables laid out once; neither shuffles the reviews."""
+    r = E.reviews(spark, d).select("review_id", "business_id", "stars", "useful")
+    left = spark.table(write_bucketed(r, "business_id", JOIN_BUCKETS))
+    right = spark.table(write_bucketed(E.businesses(spark, d), "business_id", JOIN_BUCKETS))
+    joined = bucketed_join(left, right, "business_id", "r_", "b_")
+    figures = [F.count(F.lit(1)).alias("n"), F.sum("r_useful").alias("useful"), F.round(F.sum("b_stars"), R6).alias("stars")]
+    every = joined.agg(*figures).select(F.lit("by business").alias("join_on"), "*")
+    return every.unionByName(joined.where("r_stars > b_stars").agg(*figures).select(F.lit("above average").alias("join_on"), "*"))
+
+
 # --- A8 duplicates ------------------------------------------------------------------
 @register("duplicate_count", """
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT user_id) + max(CASE WHEN user_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_distinct,
@@ -303,6 +324,22 @@ def q_duplicate_count(spark, d):
     return profile.duplicate_count(read_table(spark, d, "events", "user_id"), "user_id")
 
 
+@register("duplicate_sketch", """
+SELECT event_type, CAST(count(*) AS BIGINT) AS n_rows, TRUE AS within_bound FROM events GROUP BY event_type
+UNION ALL SELECT '(all)', count(*), TRUE FROM events
+""")
+def duplicate_sketch(spark, d):
+    """Distinct users from stored sketches, of each event type and merged: within four standard errors of the exact count."""
+    ev = read_table(spark, d, "events", "user_id", "event_type")
+    parts = sketches.distinct_sketches(ev, "user_id", ["event_type"])
+    exact = ev.groupingSets([[F.col("event_type")], []], "event_type").agg(
+        F.when(F.grouping("event_type") == 1, "(all)").otherwise(F.col("event_type")).alias("part"), F.count_distinct("user_id").alias("exact"))
+    merged = (sketches.merged_duplicates(parts, ["event_type"]).withColumnRenamed("event_type", "part")
+              .unionByName(sketches.merged_duplicates(parts).withColumn("part", F.lit("(all)"))))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.ceil(4 * sketches.standard_error() * F.col("exact"))
+    return merged.join(exact.select("part", "exact"), "part").select(F.col("part").alias("event_type"), "n_rows", near.alias("within_bound"))
+
+
 @register("distinct_by_key", """
 SELECT user_id, event_id, event_type, value FROM (
   SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)

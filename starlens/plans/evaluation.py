@@ -44,6 +44,14 @@ def keyed_split(spark, d):
     return E.labelled_texts(spark, d).select("doc_id", split.split_side("doc_id", SPLIT_SEED, 0.7).alias("side"))
 
 
+@register("exact_split", f"""
+SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('{SPLIT_SEED}:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT)
+                                <= (count(*) OVER (PARTITION BY label) * 700 + 500) // 1000 THEN 'train' ELSE 'test' END AS side FROM {SQL_LABELLED}
+""")
+def exact_split(spark, d):
+    return split.exact_split_side(E.labelled_texts(spark, d).select("doc_id", "label"), "doc_id", "label", SPLIT_SEED, 0.7)
+
+
 @register("row_slice", f"""
 SELECT doc_id, label, row_index FROM (
   SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) AS row_index FROM {SQL_LABELLED})

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from starlens.functions import clean
-from starlens.operators import models, ordering, split
+from starlens.operators import models, ordering, refine, split
 from starlens.plans import entities as E
 from starlens.plans.evaluation import SQL_LABELLED
 from starlens.plans.registry import register
@@ -175,19 +175,44 @@ def cluster_totals(spark, d):
                  F.round(F.sum(F.col("avgtoken") * n) / F.sum(n), 6).alias("avgtoken"))
 
 
-def _profile_of_split(clustered):
-    return clustered.groupBy("prediction").agg(F.count(F.lit(1)).alias("count"), F.avg("n_tokens").alias("avgtoken"))
+def _tree(spark, d, splits):
+    return refine.refinement_tree(refine.feature_table(E.labelled_texts(spark, d), "doc_id"), "doc_id", splits)
+
+
+def _leaves(tree, prefix):
+    """Profile of one level's clusters by their last number."""
+    p = refine.path_profile(tree.where(F.col("path").startswith(prefix)))
+    return p.select(F.element_at(F.split("path", "/"), -1).cast("int").alias("prediction"), "count", "avgtoken")
 
 
 @register("recluster")
 def recluster(spark, d):
-    first, data = _clusters(spark, d)
-    return _profile_of_split(models.recluster(first, data, keep=0, k=2, key="doc_id"))
+    return _leaves(_tree(spark, d, (2, 2)), "0/")
 
 
 @register("recluster_second")
 def recluster_second(spark, d):
     """The larger half of the larger cluster, in five."""
-    first, data = _clusters(spark, d)
-    second = models.recluster(first, data, keep=0, k=2, key="doc_id")
-    return _profile_of_split(models.recluster(second, data, keep=0, k=5, key="doc_id"))
+    return _leaves(_tree(spark, d, (2, 2, 5)), "0/0/")
+
+
+@register("refinement_tree")
+def refinement_tree(spark, d):
+    """Every leaf of both refinements."""
+    return refine.path_profile(_tree(spark, d, (2, 2, 5)))
+
+
+@register("refinement_totals", f"""
+SELECT count(*) AS n, round(avg(label), 6) AS avglabel, round(avg(len({sql_tokens('text')})), 6) AS avgtoken, 7 AS n_leaves, TRUE AS nested
+  FROM (SELECT text, CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)
+         WHERE text IS NOT NULL AND quality IS NOT NULL)
+""")
+def refinement_totals(spark, d):
+    """The leaves hold every row once, in as many clusters as were asked for, numbered from the largest."""
+    leaves, n = refine.path_profile(_tree(spark, d, (2, 2, 5))), F.col("count")
+    size = F.map_from_entries(F.collect_list(F.struct("path", n)))  # seven leaves
+    inner = sum((size[f"0/0/{i}"] for i in range(1, 5)), size["0/0/0"])
+    nested = (size["1"] <= inner + size["0/1"]) & (size["0/1"] <= inner) & (size["0/0/4"] <= size["0/0/0"])
+    return leaves.agg(F.sum(n).alias("n"), F.round(F.sum(F.col("avglabel") * n) / F.sum(n), 6).alias("avglabel"),
+                      F.round(F.sum(F.col("avgtoken") * n) / F.sum(n), 6).alias("avgtoken"),
+                      F.count(F.lit(1)).cast("int").alias("n_leaves"), nested.alias("nested"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starlens.functions import clean, text
-from starlens.operators import profile, terms
+from starlens.operators import heavy, profile, terms
 from starlens.plans import entities as E
 from starlens.plans.registry import register
 from starlens.sources.tables import read_table
@@ -152,16 +152,25 @@ def trigram_counts(spark, d):
 VOCAB_TOP = 1000
 
 
-@register("vocabulary_top", f"""
+SQL_VOCABULARY = f"""
 WITH g AS (SELECT doc_id, g AS term FROM {SQL_TRIGRAMS}),
      s AS (SELECT term, count(*) AS count, count(DISTINCT doc_id) AS df FROM g GROUP BY term)
 SELECT term, count, df, CAST(row_number() OVER (ORDER BY count DESC, term) - 1 AS INTEGER) AS vocab_index
   FROM s ORDER BY count DESC, term LIMIT {VOCAB_TOP}
-""")
+"""
+
+
+@register("vocabulary_top", SQL_VOCABULARY)
 def vocabulary_top(spark, d):
     return terms.vocabulary(trigrams(spark, d), "doc_id", "g", vocab_size=VOCAB_TOP)
 
 
+@register("vocabulary_sketch", SQL_VOCABULARY)
+def vocabulary_sketch(spark, d):
+    """The same rows from a sketch and exact counts of the terms it cannot rule out."""
+    return heavy.heavy_vocabulary(trigrams(spark, d), "doc_id", "g", VOCAB_TOP)
+
+
 # --- T6: IDF and TF-IDF ------------------------------------------------------------------
 SQL_TF = f"""(SELECT doc_id, term, count(*) AS tf
    FROM (SELECT doc_id, unnest({SQL_CLEAN_TOKENS}) AS term FROM documents) GROUP BY doc_id, term)"""
