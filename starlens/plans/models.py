@@ -17,11 +17,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from starlens.functions import clean
-from starlens.operators import models, ordering, refine, split
+from starlens.functions.text import tokenize, with_ngrams
+from starlens.operators import hinge, models, ordering, refine, split
 from starlens.plans import entities as E
 from starlens.plans.evaluation import SQL_LABELLED
 from starlens.plans.registry import register
-from starlens.plans.text import sql_tokens
+from starlens.plans.text import SQL_TRIGRAMS, sql_tokens
 from starlens.sources.tables import read_table
 
 LR_SEED, SVM_SEED, TRIGRAM_SEED = 100, 42, 12345
@@ -146,6 +147,59 @@ def term_weights_top(spark, d):
     return models.top_weighted_terms(models.term_weights(spark, model), 20)
 
 
+# --- a linear SVM with a table of weights ------------------------------------------------------
+HINGE_STEPS, HINGE_SIZE, HINGE_REG = 3, 0.005, 0.3
+
+
+def _sql_hinge(steps: int) -> str:
+    """Full-batch subgradient steps, chained; ``x`` has the tf-idf of the training trigrams."""
+    parts = [f"""t AS MATERIALIZED (SELECT doc_id, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM {SQL_LABELLED}
+  WHERE text IS NOT NULL AND label IS NOT NULL AND ('0x' || substr(md5('{TRIGRAM_SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000 < 700),
+g AS (SELECT doc_id, y, g AS term FROM {SQL_TRIGRAMS} JOIN t USING (doc_id)),
+f AS MATERIALIZED (SELECT doc_id, y, term, count(*) AS tf FROM g GROUP BY ALL),
+i AS MATERIALIZED (SELECT term, ln(((SELECT count(*) FROM t) + 1.0) / (count(*) + 1.0)) AS idf FROM f GROUP BY term),
+x AS MATERIALIZED (SELECT doc_id, y, term, tf * idf AS v FROM f JOIN i USING (term)),
+w0 AS (SELECT term, 0.0::DOUBLE AS w FROM i)"""]
+    for k in range(steps + 1):
+        parts.append(f"""m{k} AS MATERIALIZED (SELECT t.doc_id, any_value(t.y) AS y, coalesce(sum(v * w), 0) AS m
+  FROM t LEFT JOIN (SELECT doc_id, v, w FROM x JOIN w{k} USING (term)) USING (doc_id) GROUP BY t.doc_id)""")
+        if k < steps:
+            eta = HINGE_SIZE / (k + 1) ** 0.5
+            parts.append(f"""w{k + 1} AS MATERIALIZED (SELECT w.term, any_value(w.w) * {1 - eta * HINGE_REG!r} + {eta!r} * coalesce(sum(x.y * x.v), 0) / (SELECT count(*) FROM t) AS w
+  FROM w{k} w LEFT JOIN (SELECT x.* FROM x JOIN m{k} m USING (doc_id) WHERE m.y * m.m < 1) x ON x.term = w.term GROUP BY w.term)""")
+    return "WITH " + ",\n".join(parts)
+
+
+def _hinge(spark, d):
+    train = _split(spark, d, TRIGRAM_SEED)[0].withColumn("t", tokenize(clean.strip_punct("text")))
+    grams = with_ngrams(train, "t", "g", 3)
+    return hinge.WeightTable(grams.select("doc_id", "g", "label"), "doc_id", "g", "label")
+
+
+@register("hinge_steps", _sql_hinge(HINGE_STEPS) + "\n" + "\nUNION ALL ".join(f"""
+SELECT {k} AS step, count(*) AS n, count_if(1 - y * m > 0)::BIGINT AS inside, round(avg(greatest(0, 1 - y * m)), 6) AS hinge,
+       round(avg(greatest(0, 1 - y * m)) + {HINGE_REG / 2} * (SELECT sum(w * w) FROM w{k}), 6) AS loss FROM m{k}""" for k in range(HINGE_STEPS + 1)))
+def hinge_steps(spark, d):
+    """Loss of the weights before and after every step."""
+    table, rows = _hinge(spark, d), None
+    for k in range(HINGE_STEPS + 1):
+        if k:
+            table.step(HINGE_SIZE, HINGE_REG)
+        now = table.report(HINGE_REG)
+        rows = now if rows is None else rows.unionByName(now)
+    return rows.select("step", "n", "inside", F.round("hinge", 6).alias("hinge"), F.round("loss", 6).alias("loss"))
+
+
+@register("hinge_terms_top", _sql_hinge(HINGE_STEPS) + f""",
+r AS (SELECT term, round(w, 9) AS weight FROM w{HINGE_STEPS})
+SELECT * FROM (SELECT 'positive' AS side, term, weight FROM r WHERE weight > 0 ORDER BY weight DESC, term LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'negative', term, weight FROM r WHERE weight < 0 ORDER BY weight, term LIMIT 20)
+""")
+def hinge_terms_top(spark, d):
+    """Trigrams that speak most for either class."""
+    return _hinge(spark, d).fit(HINGE_STEPS, HINGE_SIZE, HINGE_REG).top_terms(20)
+
+
 # --- k-means -------------------------------------------------------------------------------
 def _clusters(spark, d, k=2):
     data = E.labelled_texts(spark, d)
