@@ -26,7 +26,9 @@ HEADLINE = [
     "vocabulary_top", "idf_terms", "tfidf_top_per_doc", "keyed_split", "row_slice",
     "confusion_matrix", "binary_metrics", "auc_rank", "csv_roundtrip",
     "lr_metrics", "lr_scored_slice", "svm_unigram", "svm_trigram", "term_weights_top",
-    "kmeans_sizes", "cluster_profile", "recluster",
+    "kmeans_sizes", "cluster_profile", "recluster", "recluster_second", "refinement_tree",
+    "csv_by_ranges", "cross_tab", "class_metrics", "review_feeds", "dashboard", "vocabulary_sketch",
+    "exact_split", "duplicate_sketch", "join_bucketed", "hinge_steps", "hinge_terms_top",
 ]
 
 

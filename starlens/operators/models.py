@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starlens.operators import evaluate
+from starlens.operators import evaluate, terms
 from starlens.session import ensure_checkpoint_dir, size_partitions
 
 DEFAULT_FEATURES = 1 << 18
@@ -182,6 +182,27 @@ def top_weighted_terms(weights: TermWeights, k: int = 20) -> DataFrame:
     return neg.unionByName(pos).withColumn("rank", F.row_number().over(w))
 
 
+def term_margins(spark: SparkSession, model: PipelineModel, docs: DataFrame, key: str) -> DataFrame:
+    """``(key, margin)`` of a trigram pipeline's documents, by joining their terms to its written weights.
+
+    The relational twin of the assembled vector and the SVM's dot product:
+    counts of vocabulary terms times IDF times weight, plus the intercept.
+    ``docs`` has the pipeline's text column.
+    """
+    cv = next(s for s in model.stages if hasattr(s, "vocabulary"))
+    idf = next(s for s in model.stages if hasattr(s, "idf")).idf.toArray().tolist()
+    svm = model.stages[-1]
+    # bounded by vocabSize, like the model itself
+    weights = spark.createDataFrame(list(zip(cv.vocabulary, (a * b for a, b in zip(idf, svm.coefficients.toArray().tolist())))),
+                                    "term string, weight double")
+    prefix = PipelineModel(stages=list(model.stages[:list(model.stages).index(cv)]))
+    rows = prefix.transform(docs).select(key, F.col(cv.getInputCol()).alias("terms"))
+    tf = terms.term_frequencies(rows, key, "terms")
+    sums = tf.join(weights, "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("weight")).alias("margin"))
+    return (rows.select(key).join(sums, key, "left")
+            .withColumn("margin", F.coalesce("margin", F.lit(0.0)) + F.lit(float(svm.intercept))))
+
+
 # --- M7 / M8 / M9: k-means ---------------------------------------------------------------------
 def assign_clusters(model: PipelineModel, df: DataFrame, key: str, label_col: str = "label") -> DataFrame:
     """``(key, label, n_tokens, prediction)``, clusters numbered 0..k-1 from the largest.
@@ -208,6 +229,18 @@ def relabel_by_size(clustered: DataFrame, col: str = "prediction") -> DataFrame:
             .drop(col).withColumnRenamed("_new", col))
 
 
+def center_distances(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+    """``(key, prediction, distances)``: squared distance of every row to every centre, from the feature arrays.
+
+    For models whose ``k`` centres fit the plan as literals.
+    """
+    x = vector_to_array(model.stages[-1].getFeaturesCol())
+    rows = model.transform(df).select(key, "prediction", x.alias("x"))
+    square = lambda c: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)),
+                                   F.lit(0.0), lambda s, v: s + v)
+    return rows.select(key, "prediction", F.array(*[square(c) for c in model.stages[-1].clusterCenters()]).alias("distances"))
+
+
 def cluster_profile(clustered: DataFrame, label_col: str = "label", tokens_col: str = "n_tokens") -> DataFrame:
     """Per cluster: size, average label and average token count."""
     return clustered.groupBy("prediction").agg(

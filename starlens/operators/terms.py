@@ -68,9 +68,10 @@ def vocabulary(df: DataFrame, id_col: str, terms_col: str, vocab_size: int = 1 <
     """
     stats = term_document_stats(term_frequencies(df, id_col, terms_col, term), term)
     if min_df < 1.0:
-        n_docs = df.select(id_col).distinct().count()
-        min_df = min_df * n_docs
-    kept = stats.filter(F.col("df") >= F.lit(min_df))
+        least = F.lit(min_df) * df.agg(F.count_distinct(id_col)).scalar()
+    else:
+        least = F.lit(min_df)
+    kept = stats.filter(F.col("df") >= least)
     top = kept.orderBy(F.col("count").desc(), F.col(term)).limit(vocab_size)
     # At most vocab_size rows: the ranking window runs on the bounded top list.
     w = Window.orderBy(F.col("count").desc(), F.col(term))

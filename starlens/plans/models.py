@@ -147,6 +147,38 @@ def term_weights_top(spark, d):
     return models.top_weighted_terms(models.term_weights(spark, model), 20)
 
 
+CHECKED_FEATURES = 1 << 9  # where a check holds whole feature arrays
+
+
+def _agreement(both):
+    """Rows in all, with equal margins, and with the prediction on their margin's side."""
+    near = F.abs(F.col("raw") - F.col("margin")) <= 1e-6 * (1 + F.abs(F.col("raw")))
+    return both.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(near).alias("n_equal"),
+                    F.count_if((F.col("margin") > 0) == (F.col("prediction") == 1.0)).alias("n_same_side"))
+
+
+@register("svm_unigram_recomputed", f"SELECT n_test, n_test AS n_equal, n_test AS n_same_side FROM ({_sql_margins(SVM_SEED)})")
+def svm_unigram_recomputed(spark, d):
+    """Test rows whose margin is their feature array times the weights, added up in SQL."""
+    train, test = _split(spark, d, SVM_SEED)
+    model = models.fit(models.svm_unigram_pipeline(num_features=CHECKED_FEATURES), train, "doc_id")
+    weights, start = model.stages[-1].coefficients.toArray().tolist(), float(model.stages[-1].intercept)
+    products = F.zip_with(vector_to_array("features"), F.array(*map(F.lit, weights)), lambda a, b: a * b)
+    return _agreement(model.transform(test.where(F.col("text").isNotNull())).select(
+        vector_to_array("rawPrediction")[1].alias("raw"), "prediction", F.aggregate(products, F.lit(start), lambda s, v: s + v).alias("margin")))
+
+
+@register("svm_trigram_recomputed", f"""
+SELECT n_test, n_test AS n_equal, n_test AS n_same_side FROM ({_sql_margins(TRIGRAM_SEED)})
+""")
+def svm_trigram_recomputed(spark, d):
+    """Test rows whose margin is that of their terms joined to the weight table, and whose prediction is its side."""
+    model, test = _trigram(spark, d)
+    test = test.where(F.col("text").isNotNull())
+    scored = model.transform(test).select("doc_id", vector_to_array("rawPrediction")[1].alias("raw"), "prediction")
+    return _agreement(scored.join(models.term_margins(spark, model, test, "doc_id"), "doc_id"))
+
+
 # --- a linear SVM with a table of weights ------------------------------------------------------
 HINGE_STEPS, HINGE_SIZE, HINGE_REG = 3, 0.005, 0.3
 
@@ -217,6 +249,22 @@ def cluster_profile(spark, d):
     return models.cluster_profile(_clusters(spark, d)[0])
 
 
+@register("kmeans_nearest", """
+SELECT count(*) AS n, count(*) AS n_nearest, TRUE AS costs_less FROM documents JOIN labels USING (doc_id)
+ WHERE text IS NOT NULL AND quality IS NOT NULL
+""")
+def kmeans_nearest(spark, d):
+    """Rows whose cluster is that of the nearest centre, and whether two centres cost less than the mean alone."""
+    data = E.labelled_texts(spark, d).where(F.col("text").isNotNull())
+    model = models.fit(models.kmeans_pipeline(num_features=CHECKED_FEATURES), data, "doc_id")
+    rows = models.center_distances(model, data, "doc_id")
+    own, best = F.get("distances", F.col("prediction")), F.array_min("distances")
+    each = model.transform(data).select(F.posexplode(vector_to_array("features")).alias("d", "v"))
+    about_mean = each.groupBy("d").agg((F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.avg("v")).alias("c")).agg(F.sum("c")).scalar()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(own <= best * (1 + 1e-9) + 1e-9).alias("n_nearest"),
+                    (F.sum(own) < about_mean).alias("costs_less"))
+
+
 @register("cluster_totals", f"""
 SELECT count(*) AS n, round(avg(label), 6) AS avglabel, round(avg(len({sql_tokens('text')})), 6) AS avgtoken
   FROM (SELECT text, CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)
