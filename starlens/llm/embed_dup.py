@@ -3,11 +3,14 @@
 Unit vectors with cosine ``c`` are ``sqrt(2 - 2c)`` apart; that is epsilon.
 Vectors are projected on the leading principal axes of all vectors, put in
 cells of width epsilon along each axis and sorted by label and cells (grid
-order). The sequence is cut into blocks with a bounding box on those axes;
-a projection never lengthens a distance, so blocks whose boxes are more than
+order). The length of what the axes leave over is one more coordinate. The
+sequence is cut into blocks with a bounding box on these coordinates; a
+projection never lengthens a distance, so blocks whose boxes are more than
 epsilon apart hold no pair and are skipped. Blocks that share a
 neighbourhood of leading cells are joined; within two blocks the join goes
-on recursively on halves, and what is left is one matrix product.
+on recursively on halves down to short runs, where vectors whose coordinates
+alone are more than epsilon apart are skipped one by one. Only the others'
+whole products are taken.
 
 Equal vectors are one class first. Blocks have a bounded number of vectors
 however common a cell is, and the pairs of a dense block come back as counts
@@ -90,13 +93,14 @@ def _project(axes: dict[int, np.ndarray], eps: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            y = np.zeros((batch.num_rows, k))
+            y = np.zeros((batch.num_rows, k + 1))
             data = batch.column("data").to_pylist()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = unit_rows(np.frombuffer(b"".join(data[i] for i in at)).reshape(-1, d))
                 y[at, :min(d, k)] = x @ axes[int(d)]
-            cells = np.floor(y / eps).astype(np.int32)
+            y[:, k] = np.sqrt(np.maximum(0.0, 1.0 - (y[:, :k] ** 2).sum(axis=1)))  # length of the rest
+            cells = np.floor(y[:, :k] / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([r.tobytes() for r in y], pa.binary()), *[pa.array(cells[:, i]) for i in range(k)]],
                 names=[*batch.schema.names, "y", *[f"c{i}" for i in range(k)]])
@@ -115,7 +119,7 @@ def _cut(k: int, block: int):
         def close() -> None:
             nonlocal number, held
             if held:
-                y = np.frombuffer(b"".join(r[5] for r in held)).reshape(-1, k)
+                y = np.frombuffer(b"".join(r[5] for r in held)).reshape(-1, k + 1)
                 cells = sorted({r[6] for r in held})
                 out.append((number, held[0][0], held[0][1], y.min(axis=0).tolist(), y.max(axis=0).tolist(), len(held),
                             [{"x": a, "y": b} for a, b in cells], np.array([r[2] for r in held], np.int64).tobytes(),
@@ -165,6 +169,12 @@ class _Side:
         return self.boxes[a, b]
 
 
+def near_pairs(y: np.ndarray, z: np.ndarray, eps2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs that their leading coordinates do not keep apart."""
+    apart = (y * y).sum(axis=1)[:, None] + (z * z).sum(axis=1) - 2 * y @ z.T
+    return np.nonzero(apart <= eps2 + SLACK)
+
+
 def join_blocks(p: _Side, q: _Side, cosine: float, eps2: float) -> np.ndarray:
     """The matrix of links between two blocks, by recursion on sequence halves."""
     found = np.zeros((len(p.reps), len(q.reps)), bool)
@@ -176,7 +186,11 @@ def join_blocks(p: _Side, q: _Side, cosine: float, eps2: float) -> np.ndarray:
         if gap @ gap > eps2:
             continue
         if b - a <= LEAF and d - c <= LEAF:
-            found[a:b, c:d] = p.x[a:b] @ q.x[c:d].T >= cosine
+            i, j = near_pairs(p.y[a:b], q.y[c:d], eps2)
+            if len(i) * 4 > (b - a) * (d - c):  # most may be links: one product of the runs is cheaper
+                found[a:b, c:d] = p.x[a:b] @ q.x[c:d].T >= cosine
+            else:
+                found[a + i, c + j] = np.einsum("ij,ij->i", p.x[a + i], q.x[c + j]) >= cosine
         elif b - a >= d - c:
             todo += [(a, (a + b) // 2, c, d), ((a + b) // 2, b, c, d)]
         else:
@@ -235,17 +249,23 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     non-finite component is linked with nothing. Repeated rows are vectors
     of their own (linked with each other); rows of one id with different
     vectors are one node. A null id is returned with a null component and
-    not kept; its row counts as a link of others. An empty table gives an
-    empty table.
+    not kept; its row counts as a link of others and joins them, but names
+    no component. An empty table gives an empty table.
     """
     eps = float(np.sqrt(2 - 2 * cosine))
+    # the node of a class without an id: above every id, so no component is named by it
+    no_id = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("label", "dim", "digest"), F.lit(1 << 61))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
                           F.col(vec_col).cast("array<double>").alias("v"))
     valid = scratch.save(rows.mapInArrow(_read, "vec_id long, label string, dim int, digest binary, data binary"), "valid")
     classes = scratch.save(valid.groupBy("label", "dim", "digest").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where(F.col("rep").isNotNull()), "classes")
-    distinct = (valid.join(classes.withColumnRenamed("rep", "vec_id"), ["label", "dim", "digest", "vec_id"])
-                .dropDuplicates(["label", "dim", "digest"]).select("label", "dim", F.col("vec_id").alias("rep"), "copies", "data"))
+        F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.coalesce("first", no_id)), "classes")
+    a, b = valid.alias("a"), classes.alias("b")
+    same = F.col("a.vec_id").eqNullSafe(F.col("b.first"))
+    for c in ("label", "dim", "digest"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    distinct = (a.join(b, same).select("b.label", "b.dim", "b.digest", "rep", "copies", "data")
+                .dropDuplicates(["label", "dim", "digest"]).drop("digest"))
     basis = principal_axes(valid, axes)
     cells = [f"c{i}" for i in range(axes)]
     schema = "label string, dim int, rep long, copies long, data binary, y binary, " + ", ".join(f"{c} int" for c in cells)
@@ -261,7 +281,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
         (F.col("c.x") + F.col("x")).alias("x"), (F.col("c.y") + F.col("y")).alias("y"))
     there = spots.select(F.col("block").alias("b"), "label", "dim", "lo", "hi", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
     gap2 = sum((F.pow(F.greatest(F.lit(0.0), F.col("lo")[i] - F.col("hi_a")[i], F.col("lo_a")[i] - F.col("hi")[i]), 2)
-                for i in range(axes)), F.lit(0.0))
+                for i in range(axes + 1)), F.lit(0.0))
     pairs = (near.join(there, ["label", "dim", "x", "y"]).where((F.col("a") <= F.col("b")) & (gap2 <= eps * eps + SLACK))
              .select("a", "b").distinct())
     pairs = scratch.save(pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(FAN))), "pairs")
