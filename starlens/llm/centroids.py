@@ -3,7 +3,8 @@
 Components become whole numbers ``floor(scale * x)``. A round is one pass:
 the centroids are literal arrays of the plan, ``zip_with`` and ``aggregate``
 give each vector's squared distance to all of them (``|x|^2 - 2 x.c + |c|^2``,
-exact in longs), and ``array_min`` of (distance, number) structs chooses the
+exact in longs; where products are small enough, a long holds those of two or
+three centroids side by side, which saves as many passes over a vector), and ``array_min`` of (distance, number) structs chooses the
 cluster, the smaller number on ties. One sum a dimension, in generated code
 and partially aggregated before the shuffle, gives every cluster's new
 centroid, so the driver sees ``k`` rows a round and a hot cluster is one row
@@ -21,6 +22,8 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +46,39 @@ def literal(numbers: list[int], kind: str = "bigint") -> str:
     return f"cast(split('{','.join(map(str, numbers))}', ',') AS array<{kind}>)"
 
 
-def nearest(centroids: list[list[int]]) -> Column:
+def lane_width(centroids: list[list[int]], norm: int) -> int:
+    """Bits that hold a vector's product with a centroid, and every partial sum of it: none exceeds ``|x| |c|``."""
+    most = max(sum(v * v for v in c) for c in centroids)
+    return isqrt(norm * most).bit_length() + 2
+
+
+def nearest(centroids: list[list[int]], norm: int) -> Column:
     """Struct (distance, cluster) of the nearest centroid to ``x``; the smaller number on ties.
 
-    One SQL expression: built call by call from Python it takes seconds.
+    ``norm`` is the greatest squared length of a vector. The components of
+    ``lanes`` centroids are added up at distances of ``width`` bits; their
+    products with a vector are then read from the bits of one sum. One SQL
+    expression: built call by call from Python it takes seconds.
     """
-    def distance(c: list[int]) -> str:
-        products = f"zip_with(x, {literal(c)}, (a, b) -> a * b)"
-        return f"norm - 2 * aggregate({products}, 0L, (s, v) -> s + v) + {sum(v * v for v in c)}L"
-
-    return F.expr("array_min(array(" + ", ".join(f"named_struct('distance', {distance(c)}, 'cluster', {i})"
-                                                 for i, c in enumerate(centroids)) + "))")
+    width = lane_width(centroids, norm)
+    lanes = max(1, min(len(centroids), 62 // width))
+    half, mask = 1 << (width - 1), (1 << width) - 1
+
+    def distance(product: str, c: list[int], number: int) -> str:
+        return f"named_struct('distance', norm - 2 * {product} + {sum(v * v for v in c)}L, 'cluster', {number})"
+
+    packed = []
+    for at in range(0, len(centroids), lanes):
+        group = centroids[at:at + lanes]
+        sums = [sum(c[d] << (i * width) for i, c in enumerate(group)) for d in range(len(group[0]))]
+        total = f"aggregate(zip_with(x, {literal(sums)}, (a, b) -> a * b), 0L, (s, v) -> s + v)"
+        rest, structs = "t", []
+        for i, c in enumerate(group):
+            own = rest if i == len(group) - 1 else f"((({rest} + {half}L) & {mask}L) - {half}L)"
+            structs.append(distance(own, c, at + i))
+            rest = f"shiftright({rest} - {own}, {width})"
+        packed.append(f"transform(array({total}), t -> array({', '.join(structs)}))[0]")
+    return F.expr(f"array_min(flatten(array({', '.join(packed)})))")
 
 
 def first_centroids(kept: DataFrame, k: int, seed: str) -> list[list[int]]:
@@ -63,10 +88,10 @@ def first_centroids(kept: DataFrame, k: int, seed: str) -> list[list[int]]:
     return [list(r["x"]) for r in rows]
 
 
-def moved(kept: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
+def moved(kept: DataFrame, centroids: list[list[int]], norm: int) -> list[list[int]]:
     """Every centroid's floored mean of its vectors; one without vectors stays."""
     dims = len(centroids[0])
-    sums = (kept.select(nearest(centroids)["cluster"].alias("cluster"), "x").groupBy("cluster")
+    sums = (kept.select(nearest(centroids, norm)["cluster"].alias("cluster"), "x").groupBy("cluster")
             .agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"sum(x[{d}]) AS s{d}") for d in range(dims)]).collect())
     out = list(centroids)
     for r in sums:
@@ -79,9 +104,10 @@ def cluster(vectors: DataFrame, scratch: Scratch, k: int = 40, rounds: int = 5,
     """``(id, cluster, distance, cluster_inertia, inertia, centroid)`` for every kept vector."""
     kept = scratch.save(kept_vectors(vectors, dims, scale, id_col, vec_col), "kept")
     centroids = first_centroids(kept, k, seed)
+    norm = kept.agg(F.max("norm")).first()[0]
     for _ in range(rounds if centroids else 0):
-        centroids = moved(kept, centroids)
-    best = nearest(centroids) if centroids else F.struct(F.lit(0).cast("long").alias("distance"), F.lit(0).alias("cluster"))
+        centroids = moved(kept, centroids, norm)
+    best = nearest(centroids, norm) if centroids else F.struct(F.lit(0).cast("long").alias("distance"), F.lit(0).alias("cluster"))
     chosen = kept.select("id", best.alias("best")).select("id", "best.cluster", "best.distance")
     chosen = scratch.save(chosen, "chosen")
     scratch.drop("kept")
