@@ -280,7 +280,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, scratch: Scratc
     n_chunks = max(1, math.ceil((size["b"] or 0) / chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
-    words = (rows.repartition(n_chunks, "chunk").sortWithinPartitions("chunk")
+    words = (rows.repartitionById(n_chunks, "chunk").sortWithinPartitions("chunk")
              .mapInArrow(_chunk_words, "chunk int, word binary, c long"))
     pairs = scratch.save(words, "pairs")
     counts = scratch.save(pairs.groupBy("word").agg(F.sum("c").alias("c")), "counts")
@@ -298,5 +298,5 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, scratch: Scratc
         null.cast("boolean").alias("held_out"), null.cast("string").alias("text"))
     texts = rows.select("chunk", F.lit(1).alias("kind"), null.cast("binary").alias("word"), null.cast("long").alias("c"),
                         null.cast("double").alias("lp"), "doc_id", "held_out", "text")
-    return (lexicon.union(texts).repartition(n_chunks, "chunk").sortWithinPartitions("chunk", "kind")
+    return (lexicon.union(texts).repartitionById(n_chunks, "chunk").sortWithinPartitions("chunk", "kind")
             .mapInArrow(_score_chunks(n, v, n_texts, end_lp), SCORES))
