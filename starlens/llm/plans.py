@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from starlens.llm import (centroids, decontam, embed_dup, html_extract, lang_id,
                           quality, url_rules, warc, whiten)
 from starlens.llm.scratch import Scratch
 
-TOKENIZERS = os.environ.get("STARLENS_TOKENIZERS", "/opt/tokenizers")
+# The folder of the tokenizer files, where the package that holds them is installed unless it is named.
+TOKENIZERS = os.environ.get("STARLENS_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
