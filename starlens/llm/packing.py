@@ -1,19 +1,28 @@
 """Operator 3: harmonic packing of token sequences.
 
-Lengths are parted into reciprocal-capacity classes: capacity, capacity/2,
-capacity/4, ... A bin of class j holds exactly j pieces of capacity/j, so
-full bins have no padding. Documents may be cut, so each is cut into whole
-sequences and then into class sizes down to ``smallest``; the tail below
-that is the last class, filled first-come (cut where a bin ends). Each task
-fills its own bins: nothing is shuffled, and no task waits for another.
-
-A bin that is not full when a task ends is split into power-of-two lengths.
+Lengths are parted into reciprocal-capacity classes: a document of class k
+is longer than capacity/(k+1) and at most capacity/k long, so k of a class
+fit in one bin whatever their lengths, and a bin of class k gets k whole
+documents. What is longer than a sequence is cut into whole sequences and a
+rest of some class. Documents under capacity/``classes`` are the last class,
+filled first-come. Each task fills its own bins: nothing is shuffled, and no
+task waits for another.
+
+The room that k documents leave in a bin is filled too: with a document of
+the last class where one fits, and once the open rooms add up to
+``OPEN_ROOM`` sequences, with the next document, whole in the tightest room
+that holds it and else cut over the largest ones. So no sequence is padded,
+about one document a sequence is cut, and a task holds few bins.
+
+When a task ends, the bins with most room are emptied into the others, and
+what is left over is split into power-of-two lengths.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +34,7 @@ from pyspark.sql import functions as F
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OPEN_ROOM = 4  # sequences; bounds the bins that wait for a filling
 LONG_TEXT = 1 << 18
 LONG_RUN = 1 << 14  # white space of this length in a long text is encoded apart: the pattern's stack grows with a run
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what ``\s`` is to both encoders
@@ -107,13 +117,15 @@ class Encoder:
 class Bins:
     """The open bins of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, capacity: int, smallest: int, first_sequence: int):
-        if capacity < 1 or capacity & (capacity - 1) or not 1 <= smallest <= capacity:
-            raise ValueError("capacity must be a power of two, smallest within it")
-        self.capacity, self.smallest, self.next = capacity, smallest, first_sequence
-        self.sizes = [capacity >> k for k in range(capacity.bit_length()) if capacity >> k >= smallest]
-        self.open = {s: [] for s in self.sizes}
-        self.tail, self.tail_len = [], 0
+    def __init__(self, capacity: int, classes: int, first_sequence: int):
+        if capacity < 1 or classes < 1:
+            raise ValueError("capacity and classes must be at least 1")
+        self.capacity, self.classes, self.next = capacity, classes, first_sequence
+        self.open: dict[int, list] = {}  # class -> whole documents of its open bin
+        self.last, self.last_len = [], 0
+        self.waiting: dict[int, list] = {}  # bin number -> pieces of a bin with room
+        self.rooms: list[tuple[int, int]] = []  # (room, bin number), sorted
+        self.room, self.bins = 0, 0
 
     def _emit(self, pieces: list, out: list) -> None:
         offset = 0
@@ -122,57 +134,106 @@ class Bins:
             offset += len(ids)
         self.next += 1
 
+    @staticmethod
+    def _cut(piece: tuple, at: int) -> tuple[tuple, tuple]:
+        doc_id, start, ids, total = piece
+        return (doc_id, start, ids[:at], total), (doc_id, start + at, ids[at:], total)
+
+    def _wait(self, pieces: list, out: list) -> None:
+        """A bin with its fixed count: out if full, else it waits for a filling."""
+        room = self.capacity - sum(len(p[2]) for p in pieces)
+        if not room:
+            self._emit(pieces, out)
+            return
+        self.waiting[self.bins] = pieces
+        insort(self.rooms, (room, self.bins))
+        self.room += room
+        self.bins += 1
+
+    def _fill(self, piece: tuple, out: list) -> tuple:
+        """Put a piece in the tightest room that holds it, else in the largest ones; returns what is left."""
+        while self.rooms and len(piece[2]):
+            at = bisect_left(self.rooms, (len(piece[2]), -1))
+            room, number = self.rooms.pop(min(at, len(self.rooms) - 1))
+            now, piece = self._cut(piece, room)
+            self.waiting[number].append(now)
+            self.room -= len(now[2])
+            if len(now[2]) == room:
+                self._emit(self.waiting.pop(number), out)
+            else:
+                insort(self.rooms, (room - len(now[2]), number))
+        return piece
+
     def add(self, doc_id: int | None, ids: np.ndarray, out: list) -> None:
-        at, total = 0, len(ids)
-        for size in self.sizes:
-            while total - at >= size:
-                bin_ = self.open[size]
-                bin_.append((doc_id, at, ids[at:at + size], total))
-                at += size
-                if len(bin_) * size == self.capacity:
-                    self._emit(bin_, out)
-                    self.open[size] = []
-        while at < total:
-            part = ids[at:at + self.capacity - self.tail_len]
-            self.tail.append((doc_id, at, part, total))
-            self.tail_len += len(part)
-            at += len(part)
-            if self.tail_len == self.capacity:
-                self._emit(self.tail, out)
-                self.tail, self.tail_len = [], 0
+        piece = (doc_id, 0, ids, len(ids))
+        while len(piece[2]) > self.capacity:
+            now, piece = self._cut(piece, self.capacity)
+            self._emit([now], out)
+        if len(ids) > self.capacity:
+            piece = (*piece[:2], piece[2].copy(), piece[3])  # the open bins shall not hold the whole of it
+        n = len(piece[2])
+        if not n:
+            return
+        k = self.capacity // n
+        small = k >= self.classes
+        if self.room >= OPEN_ROOM * self.capacity or small and self.rooms and self.rooms[-1][0] >= n:
+            self._fill(piece, out)
+        elif small:
+            self._add_last(piece, out)
+        else:
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(piece)
+            if len(bin_) == k:
+                self._wait(self.open.pop(k), out)
+
+    def _add_last(self, piece: tuple, out: list) -> None:
+        while len(piece[2]):
+            now, piece = self._cut(piece, self.capacity - self.last_len)
+            self.last.append(now)
+            self.last_len += len(now[2])
+            if self.last_len == self.capacity:
+                self._emit(self.last, out)
+                self.last, self.last_len = [], 0
 
     def close(self, out: list) -> None:
-        """Split what is left into sequences of power-of-two length."""
-        for pieces in [*self.open.values(), self.tail]:
-            left = sum(len(p[2]) for p in pieces)
-            while left:
-                length = 1 << (left.bit_length() - 1)
-                left -= length
-                now = []
-                while length:
-                    doc_id, start, ids, total = pieces.pop(0)
-                    take = min(length, len(ids))
-                    now.append((doc_id, start, ids[:take], total))
-                    length -= take
-                    if take < len(ids):
-                        pieces.insert(0, (doc_id, start + take, ids[take:], total))
+        """Fill the rooms from unfinished bins; the rest in sequences of power-of-two length."""
+        left = [p for k in sorted(self.open) for p in self.open[k]] + self.last
+        self.last, self.last_len = [], 0
+        while left or self.rooms:
+            for piece in left:
+                self._add_last(self._fill(piece, out), out)
+            left = []
+            if self.rooms:
+                room, number = self.rooms.pop()
+                self.room -= room
+                left = self.waiting.pop(number)
+        for size in (1 << b for b in reversed(range(self.last_len.bit_length()))):
+            if self.last_len & size:
+                now, need = [], size
+                while need:
+                    piece, rest = self._cut(self.last.pop(0), need)
+                    now.append(piece)
+                    need -= len(piece[2])
+                    if len(rest[2]):
+                        self.last.insert(0, rest)
                 self._emit(now, out)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = 2048, smallest: int = 64, end_id: int = 1) -> DataFrame:
+         capacity: int = 2048, classes: int = 16, end_id: int = 1) -> DataFrame:
     """Pieces of all documents with their places in sequences, as :data:`PIECES`.
 
     ``ids`` are little-endian unsigned 32-bit ids. A document is its ids and
     ``end_id``, so null and empty texts have one token. Repeated rows and
     null ids are documents of their own. An empty table gives no piece.
-    ``sequence_id`` is the task's number in the high bits and a count in the
+    A very long text is cut into whole sequences; texts of one length fill
+    bins of one class. ``sequence_id`` is the task's number in the high bits and a count in the
     low; a retried task makes the same rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
-        bins = Bins(capacity, smallest, TaskContext.get().partitionId() << 36)
+        bins = Bins(capacity, classes, TaskContext.get().partitionId() << 36)
 
         def table(out: list) -> pa.RecordBatch:
             doc, start, ids, total, seq, offset = zip(*out)

@@ -128,6 +128,53 @@ def test_packing_is_exact_and_full(spark):
     assert packing.pack(docs(spark, []), BPE).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [
+    [], [1], [2048], [2049] * 3, [1100] * 50, [683, 682] * 40, [1] * 5000, [2047] * 300, [100_000], [5, 2000] * 200,
+    np.random.default_rng(1).integers(1, 2049, 3000).tolist(),
+    (np.random.default_rng(2).pareto(1.2, 3000) * 150 + 1).astype(int).clip(1, 200_000).tolist()])
+def test_bins_hold_every_id_once_without_padding(lengths):
+    bins, out = packing.Bins(2048, 16, 7), []
+    most = 0
+    for i, n in enumerate(lengths):
+        bins.add(i, np.arange(n, dtype=np.uint32) + i, out)
+        most = max(most, bins.room)
+    bins.close(out)
+    assert most < (packing.OPEN_ROOM + 1) * 2048
+    docs_, seqs = {}, {}
+    for doc, start, ids, total, seq, offset in out:
+        assert total == lengths[doc] and len(ids)
+        docs_.setdefault(doc, []).append((start, ids))
+        seqs.setdefault(seq, []).append((offset, len(ids)))
+    for i, n in enumerate(lengths):
+        whole = np.concatenate([x for _, x in sorted(docs_[i], key=lambda p: p[0])])
+        assert whole.tolist() == list(range(i, n + i))
+    sizes = []
+    for parts in seqs.values():
+        assert [o for o, _ in parts] == np.cumsum([0, *[n for _, n in parts]])[:-1].tolist()
+        sizes.append(sum(n for _, n in parts))
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sizes) and sum(n < 2048 for n in sizes) <= 11
+    assert sorted(seqs) == list(range(7, 7 + len(seqs)))
+    assert len(out) <= len(lengths) + 2 * len(seqs) + 11
+
+
+def test_bins_hold_a_fixed_count_of_whole_documents():
+    bins, out = packing.Bins(2048, 16, 0), []
+    lengths = np.random.default_rng(3).integers(130, 2049, 20_000)
+    for i, n in enumerate(lengths):
+        bins.add(i, np.zeros(n, dtype=np.uint32), out)
+    bins.close(out)
+    assert len(out) < len(lengths) + len({r[4] for r in out}) * 1.05
+    first = {}
+    for doc, _, ids, total, seq, _ in out:
+        first.setdefault(seq, []).append((len(ids), total))
+    fixed = 0
+    for parts in first.values():
+        n, total = parts[0]
+        k = 2048 // total if total <= 2048 else 0
+        fixed += n == total and len(parts) >= k and all(a == b and 2048 // b == k for a, b in parts[:k])
+    assert fixed >= 0.95 * len(first)
+
+
 def test_packing_finds_added_tokens():
     from tokenizers import Tokenizer
 
