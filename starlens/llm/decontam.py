@@ -6,9 +6,9 @@ prefix: only that one is joined. Candidates must keep the positional bound
 (start >= 0) and the length bound (start + length <= words); those left are
 verified shingle by shingle at their exact positions.
 
-Built-in functions only. The documents are read once for shingles that the
-benchmark holds and once for word counts; what is shuffled is in proportion
-to benchmark shingles found, not to the corpus. The benchmark's shingles are
+Built-in functions only. The documents are split into words once, for the
+shingles that the benchmark holds and for the word counts; what is shuffled
+is in proportion to benchmark shingles found and one count a document. The benchmark's shingles are
 a written table, so Spark knows their real size and broadcasts them only
 below its threshold; beyond it the same join is a shuffled one.
 """
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from starlens.llm.scratch import Scratch, ascii_lower, same_row, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on text with A-Z lower-cased
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
 
@@ -48,27 +47,36 @@ def _window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
                     F.array_join(F.slice("win", F.col("off") + 1, F.col("size")), " ").alias("tok")))
 
 
-def _document_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, th, n_words, size, pos, tok)`` for every position of every document."""
+def _document_shingles(docs: DataFrame, id_col: str, text_col: str, sizes: list[int]) -> DataFrame:
+    """``(id, th, n_words, pos, size, tok)`` for every position and size; ``tok`` is null where the words end before.
+
+    A document with too few words for any has one row without position.
+    """
     text = text_or_empty(text_col)
     one = (docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
                        F.explode(F.array(words(text))).alias("words"))  # the explode keeps the split from being repeated
            .withColumn("n_words", F.size("words")))
-    count = F.greatest(F.col("n_words") - (size - 1), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice("words", k + 1, count).alias(f"w{k}") for k in range(size)])
-    return (one.select("id", "th", "n_words", F.posexplode(zipped).alias("pos", "w"))
-            .select("id", "th", "n_words", F.lit(size).alias("size"), "pos",
-                    F.concat_ws(" ", *[F.col(f"w.w{k}") for k in range(size)]).alias("tok")))
+    count = F.greatest(F.col("n_words") - (min(sizes) - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("words", k + 1, count).alias(f"w{k}") for k in range(max(sizes))])
+    at = one.select("id", "th", "n_words", F.posexplode_outer(zipped).alias("pos", "w"))
+
+    def token(size: int) -> Column:
+        return F.when(F.col(f"w.w{size - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"w.w{k}") for k in range(size)]))
+
+    if len(sizes) == 1:
+        return at.select("id", "th", "n_words", "pos", F.lit(sizes[0]).alias("size"), token(sizes[0]).alias("tok"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), token(n).alias("tok")) for n in sizes]))
+    return at.select("id", "th", "n_words", "pos", each.alias("t")).select("id", "th", "n_words", "pos", "t.size", "t.tok")
 
 
 def contaminated_words(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                        window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Hits of each document that holds a window: ``id, th, n_hit, items`` (``th``: hash of its text).
+    """Words and hits of each document: ``id, th, n_words, n_hit, items`` (``th``: hash of its text).
 
     ``items`` are the item ids as sorted strings. Documents without a hit
-    have no row. Null or empty texts have no words; an item without words
-    has no window; a null item id is not listed. Rows that repeat
+    have null in both. Null or empty texts have no words; an item without
+    words has no window; a null item id is not listed. Rows that repeat
     (id, text) share one row here. Empty tables give an empty table.
     """
     items = scratch.save(bench.select(F.col(item_col).cast("string").alias("item_id"),
@@ -76,16 +84,15 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_c
     windows = scratch.save(_windows(items, window), "windows")
     shingles = scratch.save(_window_shingles(windows, shingle), "shingles")
     tokens = scratch.save(shingles.select("size", "tok").distinct(), "tokens")
-    sizes = [r["size"] for r in tokens.select("size").distinct().collect()]  # at most `shingle` rows
-    if not sizes:
-        sizes = [shingle]
-    found = None
-    for size in sorted(sizes):
-        part = _document_shingles(docs, id_col, text_col, size).join(
-            tokens.where(F.col("size") == size).select("tok"), "tok", "left_semi")
-        part = part.select("id", "th", "n_words", "pos", "tok")
-        found = part if found is None else found.union(part)
-    found = scratch.save(found.distinct(), "found")
+    sizes = sorted(r["size"] for r in tokens.select("size").distinct().collect()) or [shingle]  # at most `shingle` rows
+    # a document's first position stays without a shingle too: it carries the count
+    seen = (_document_shingles(docs, id_col, text_col, sizes)
+            .join(tokens.withColumn("held", F.lit(True)), ["size", "tok"], "left")
+            .where(F.col("held") | (F.coalesce("pos", F.lit(0)) == 0))
+            .select("id", "th", "n_words", "pos", F.when(F.col("held"), F.col("tok")).alias("tok")))
+    seen = scratch.save(seen.distinct(), "found")
+    counts = seen.select("id", "th", F.col("n_words").cast("long").alias("n_words")).distinct()
+    found = seen.where(F.col("tok").isNotNull())
 
     # order by rarity in the documents: the rarest shingle is the window's prefix
     rarity = found.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
@@ -122,8 +129,10 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_c
     member = windows.where(F.col("item_id").isNotNull()).select("wid", "item_id").distinct()
     held = (hits.select("id", "th", "wid").distinct().join(member, "wid").select("id", "th", "item_id").distinct()
             .groupBy("id", "th").agg(F.sort_array(F.collect_list("item_id")).alias("items")))
-    return covered.join(held, same_row(covered, held, "id", "th"), "left").select(
+    hit = covered.join(held, same_row(covered, held, "id", "th"), "left").select(
         covered["id"], covered["th"], "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return counts.join(hit, same_row(counts, hit, "id", "th"), "left").select(
+        counts["id"], counts["th"], "n_words", "n_hit", "items")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_col: str = "doc_id",
@@ -137,8 +146,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_col: s
     hits = contaminated_words(docs, bench, scratch, id_col, text_col, **kw)
     text = text_or_empty(text_col)
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("row"),
-                       F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
-                       F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+                       F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
     out = base.join(hits.hint("merge"), same_row(base, hits, "id", "th"), "left")
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], "n_words",
                       F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

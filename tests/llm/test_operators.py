@@ -257,6 +257,33 @@ def test_decontamination_edges(spark, scratch_tables):
     assert decontam.decontaminate(clash, items.limit(0), Scratch(spark, "n")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_null_ids_long_texts_and_mixed_items(spark, scratch_tables):
+    g = np.random.default_rng(5)
+    item_texts = {"1": "q", "2": "r s", "3": " ".join(f"k{i}" for i in range(14)), "4": "r s t"}
+    items = spark.createDataFrame([*item_texts.items(), (None, "u v"), ("3", item_texts["3"])], "item_id string, text string")
+    vocabulary = np.array(["q", "r", "s", "t", "u", "v", *[f"k{i}" for i in range(14)], *[f"w{i}" for i in range(400)]])
+    rows = [(i if i % 7 else None, " ".join(g.choice(vocabulary, int(g.integers(0, 40))))) for i in range(150)]
+    long = " ".join(f"w{i % 400}" for i in range(200_000))
+    rows += [(900, f"{long} {item_texts['3']} {long}"), (901, long), (902, " , ".join(f"K{i}" for i in range(2, 12)))] + rows[:5]
+    got = decontam.decontaminate(docs(spark, rows), items, scratch_tables).collect()
+
+    def brute(text):
+        w = text.lower().replace(",", " ").split()
+        hit, which = set(), set()
+        for i, item in [*item_texts.items(), (None, "u v")]:
+            it = item.split()
+            n = min(10, len(it))
+            wins = {tuple(it[k:k + n]) for k in range(max(1, len(it) - 9))}
+            at = [k for k in range(len(w) - n + 1) if tuple(w[k:k + n]) in wins]
+            hit |= {p for k in at for p in range(k, k + n)}
+            which |= {i} if at and i else set()
+        return len(w), len(hit), ",".join(sorted(which)), bool(hit)
+
+    key = lambda r: (str(r[0]), *r[1:])
+    want = sorted(((i, t, *brute(t)) for i, t in rows), key=key)
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got), key=key) == want
+
+
 def test_line_dedup_edges(spark, scratch_tables):
     line = "This line is long enough to count"
     rows = [(1, f"{line}\nshort"), (2, f"  {line.upper()}\t\nshort\n"), (3, f"{line}\n{line}"), (4, None), (5, ""), (6, "x" * 19 + "\n")]
