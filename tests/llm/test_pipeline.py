@@ -149,6 +149,6 @@ def test_language_stage_keeps_wanted_languages(spark, tables):
     assert {r.doc_id for r in corpus_pipeline.language(spark, undetermined, folder).collect()} == lettered
 
 
-def test_registered_queries_are_the_eleven():
-    assert sorted(int(q[2:].split("_")[0]) for q in plans.QUERIES) == list(range(1, 11))
+def test_registered_queries_are_the_fourteen():
+    assert sorted(int(q[2:].split("_")[0]) for q in plans.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
