@@ -103,6 +103,16 @@ def test_near_duplicates_equal_brute_force(spark, scratch_tables, percent):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in twice.collect()) == [(0, None, False), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_near_duplicates_of_long_texts_clashing_names_and_an_empty_table(spark):
+    long = [f"w{i}" for i in range(5000)]
+    rows = [(9, " ".join(long)), (4, " ".join(long[:4900])), (2, " ".join(long[2500:])), (7, "a b"), (7, "a b"), (None, "a b")]
+    clash = docs(spark, rows).withColumn("kept", F.lit("x")).withColumn("n", F.lit("x"))
+    got = near_dup.near_duplicates(clash, Scratch(spark, "long")).collect()
+    assert sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(9, 4996, 4, False), (4, 4896, 4, True), (2, 2496, 2, True), (7, 1, 7, True), (7, 1, 7, True), (0, 1, None, False)], key=str)
+    assert near_dup.near_duplicates(clash.limit(0), Scratch(spark, "none")).count() == 0
+
+
 # --- 3 packing -------------------------------------------------------------------------------
 def test_packing_is_exact_and_full(spark):
     from tokenizers import Tokenizer
