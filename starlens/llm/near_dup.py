@@ -38,6 +38,7 @@ from starlens.llm.components import components
 from starlens.llm.scratch import Scratch, text_or_empty
 
 COORDS, SHINGLE, PERCENT, SIGMA, BLOCK = 128, 5, 80, 6.0, 96
+REMEMBERED = 1 << 16  # digests of one id's texts held by a task; a text beyond may be compared twice
 _RNG = np.random.default_rng(20240229)
 POWERS = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _RNG.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,10 +99,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buffer = np.empty((COORDS, 512), np.uint64)
+    last, met = None, set()
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+        sets, taken = [], []
+        for i, (rep, text) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("text").cast(pa.binary()))):
+            s = shingle_set(text.as_py())
+            if rep != last:
+                last, met = rep, set()
+            key = hashlib.md5(s.tobytes()).digest()
+            if key not in met:  # rows that repeat an id come one after the other
+                if len(met) == REMEMBERED:
+                    met.clear()
+                met.add(key)
+                taken.append(i)
+                sets.append(s)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()),
+            [batch.column("rep").take(pa.array(taken, pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([signature(s, buffer) for s in sets], pa.list_(pa.int32())),
              pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "sig", "shingles"])
 
@@ -237,10 +250,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     t = match_threshold(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sketch = scratch.save(rows.mapInArrow(_sketch, "doc_id long, n long, digest binary, sig array<int>"), "sketch")
-    classes = (sketch.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-               .where(F.col("rep").isNotNull()))
-    reps = sketch.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
-    stars = scratch.save(_pairs_by_prefix(reps.select(F.col("doc_id").alias("rep"), "sig"), t, scratch), "stars")
+    # one node, and one signature, a class of equal sets, however many rows it has
+    classes = (sketch.where(F.col("digest").isNotNull()).groupBy("digest")
+               .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where(F.col("rep").isNotNull()))
+    classes = scratch.save(classes, "classes")
+    stars = scratch.save(_pairs_by_prefix(classes.select("rep", "sig"), t, scratch), "stars")
 
     wanted = stars.select(F.col("rep").alias("w")).union(stars.select("pivot")).distinct()
     # texts are dealt by id at every size; a broadcast of the ids would have no bound

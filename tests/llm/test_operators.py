@@ -113,6 +113,20 @@ def test_near_duplicates_of_long_texts_clashing_names_and_an_empty_table(spark):
     assert near_dup.near_duplicates(clash.limit(0), Scratch(spark, "none")).count() == 0
 
 
+def test_rows_that_repeat_are_one_node(spark):
+    long = [f"w{i}" for i in range(60)]
+    near = long[:58] + ["x", "y"]
+    rows = [(3, " ".join(long))] * 400 + [(5, " ".join(long))] * 30 + [(2, " ".join(near))] * 300 + [(8, "other text")]
+    table = docs(spark, rows).repartition(6)
+    scratch = Scratch(spark, "repeats")
+    got = near_dup.near_duplicates(table, scratch).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in got) == [(2, 2, True, 300), (3, 2, False, 400), (5, 2, False, 30), (8, 8, True, 1)]
+    assert spark.read.parquet(scratch.path("classes")).count() == 3
+    one = spark.createDataFrame([(3, "a b c")] * 50 + [(3, "d e")] * 20 + [(4, "a b c")] * 9, "rep long, text string").coalesce(1)
+    sets = one.mapInArrow(near_dup._full_sets, "rep long, n long, sig array<int>, shingles binary")
+    assert sorted(r.rep for r in sets.select("rep").collect()) == [3, 3, 4]
+
+
 # --- 3 packing -------------------------------------------------------------------------------
 def test_packing_is_exact_and_full(spark):
     from tokenizers import Tokenizer
