@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.llm.scratch import Scratch, ascii_lower, same_row, text_or_empty
+from starlens.llm.scratch import Scratch, ascii_lower, others, same_row, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on text with A-Z lower-cased
 WINDOW = 10
@@ -142,13 +142,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, scratch: Scratch, id_col: s
     A document without words, or without a window, has 0 hits and no
     items. Input columns with these four names are replaced.
     """
-    new = ("n_words", "n_hit", "items", "contaminated")
+    keep = others(docs, "n_words", "n_hit", "items", "contaminated")
     hits = contaminated_words(docs, bench, scratch, id_col, text_col, **kw)
     text = text_or_empty(text_col)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("row"),
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
                        F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
     out = base.join(hits.hint("merge"), same_row(base, hits, "id", "th"), "left")
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], "n_words",
+    return out.select(*[F.col(f"row.`{c}`") for c in keep], "n_words",
                       F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))

@@ -21,6 +21,9 @@ from itertools import dropwhile
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from starlens.llm.scratch import others
 
 # Element names of HTML.
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
@@ -333,9 +336,9 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     Repeated rows each get a row; an input column named ``out_col`` is
     replaced; an empty table stays empty.
     """
-    keep = [c for c in pages.columns if c not in (html_col, out_col)]
+    keep = others(pages, html_col, out_col)
     source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias("__html"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema][:-1] + [f"`{out_col}` string"])
+    schema = StructType([*source.schema.fields[:-1], StructField(out_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

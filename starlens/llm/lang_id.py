@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from starlens.llm.scratch import others
 
 UND = "und"
 BATCH = 2048
@@ -292,10 +295,10 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_t
     every text if there is no model. Repeated rows each get a row. Input
     columns with the two names are replaced; an empty table stays empty.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = others(docs, "lang_pred", "score")
     source = docs.select(*[F.col(f"`{c}`") for c in keep])
     back = [c for c in keep if keep_text or c != text_col]
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in back) + ", lang_pred string, score double"
+    schema = StructType([*[source.schema[c] for c in back], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

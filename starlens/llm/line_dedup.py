@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlens.llm.scratch import Scratch, ascii_lower, same_row, text_or_empty
+from starlens.llm.scratch import Scratch, ascii_lower, others, same_row, text_or_empty
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -37,7 +37,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     text. Input columns named ``n_lines`` or ``n_dropped`` are replaced.
     An empty table gives an empty table.
     """
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    keep = others(docs, "n_lines", "n_dropped")
+    rest = [c for c in keep if c.lower() != text_col.lower()]
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).alias("id"),
         F.xxhash64(text_or_empty(text_col)).alias("th"),
@@ -73,6 +74,5 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
         "row", text.alias("text"), F.size(base["lines"]).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    cols = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`")
-            for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    cols = [F.col("text").alias(c) if c.lower() == text_col.lower() else F.col(f"row.`{c}`") for c in keep]
     return out.select(*cols, "n_lines", "n_dropped")

@@ -49,6 +49,12 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` that no name of ``names`` equals; upper and lower case are one, as in Spark's own look-up."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def same_row(left: DataFrame, right: DataFrame, *keys: str) -> Column:
     """Null-safe equality on ``keys``, still an equi-join."""
     cond = left[keys[0]].eqNullSafe(right[keys[0]])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.llm.scratch import Scratch, ascii_lower
+from starlens.llm.scratch import Scratch, ascii_lower, others
 
 ROWS_PER_SALT = 50_000
 
@@ -70,8 +70,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, scratch: Scratch, url_col: st
     path. Repeated rows each get their verdict; input columns with the
     names of the four results are replaced. An empty table stays empty.
     """
-    new = ("host", "path", "rule", "verdict")
-    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in new]).alias("row"),
+    keep = others(pages, "host", "path", "rule", "verdict")
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
                         url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     urls = base.select("host", "path").distinct()
     stacks = scratch.save(_rules_with_stack(rules), "stacks")
@@ -113,5 +113,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, scratch: Scratch, url_col: st
     scratch.drop("stacks", "candidates", "salts")
     out = base.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
     return out.select(
-        *[F.col(f"row.`{c}`") for c in pages.columns if c not in new], "host", "path", "rule",
+        *[F.col(f"row.`{c}`") for c in keep], "host", "path", "rule",
         F.coalesce("verdict", F.lit(default)).alias("verdict"))
