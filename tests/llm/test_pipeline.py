@@ -123,6 +123,21 @@ def test_empty_and_wordless_tables(spark, tmp_path):
         assert corpus_pipeline.run(spark, folder).count() == 0
 
 
+def test_stages_keep_columns_with_clashing_names(spark, tables):
+    folder, _, _ = tables
+    plain = spark.read.parquet(f"{folder}/documents.parquet").drop("kept")
+    names = ["gone", "lang_pred", "SCORE", "n_lines", "N_words", "n_hit", "items", "contaminated", "row", "held", "id", "th", "odd.name x"]
+    docs = plain.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    scratch = Scratch(spark, "clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = scratch.save(stage(spark, plain, folder), f"{name}-plain")
+        docs = scratch.save(stage(spark, docs, folder), name)
+        assert docs.columns == plain.columns + names, name
+        key = ["doc_id", "text", "lang", "n_chars"]
+        assert sorted(map(str, docs.select(key).collect())) == sorted(map(str, plain.select(key).collect())), name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names), name
+
+
 def test_unlabelled_corpus_keeps_its_documents(spark, tmp_path):
     rows, bench = planted()
     spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
