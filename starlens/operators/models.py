@@ -19,17 +19,18 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, StopWordsRemover,
+from pyspark.ml.feature import (IDF, CountVectorizer, CountVectorizerModel, HashingTF, NGram, StopWordsRemover,
                                 StringIndexer, Tokenizer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlens.operators import evaluate, terms
-from starlens.session import ensure_checkpoint_dir, size_partitions
+from starlens.session import ensure_checkpoint_dir, size_partitions, written
 
 DEFAULT_FEATURES = 1 << 18
-FIT_BYTES = 32 << 20  # of expanded input a partition: every solver iteration is one task a partition
+FIT_BYTES = 32 << 20  # of expanded input a partition, for the feature stages
+SOLVER_BYTES = 2 << 30  # the same for the solver: an iteration sends a whole gradient (2 MB for 2^18 features) a partition
 
 
 def feature_stages(text_col: str = "text", stop_words: bool = False, ngram: int | None = None,
@@ -89,6 +90,34 @@ def stable_input(df: DataFrame, key: str, partitions: int | None = None) -> Data
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
+def solver_layout(df: DataFrame) -> tuple[int, int]:
+    """Partitions for an iterative solver and the depth of its sums; both follow the data alone.
+
+    One partition where the features have one, else twice a power of three:
+    every level of the sum merges three, so that two gradients an iteration
+    reach the driver whatever the input's size.
+    """
+    if size_partitions(df, FIT_BYTES) == 1:
+        return 1, 2
+    wanted, power = size_partitions(df, SOLVER_BYTES), 0
+    while 2 * 3 ** power < wanted:
+        power += 1
+    return 2 * 3 ** power, max(2, power + 1)
+
+
+def fit_vocabulary(stage: CountVectorizer, df: DataFrame) -> CountVectorizerModel:
+    """The fitted ``stage`` (without limits on documents); its terms are ranked on the executors.
+
+    MLlib's fit collects ``vocabSize`` candidates of every partition on the
+    driver. Here it gets the chosen terms alone, in one partition; their
+    order among themselves is its own. Ties at the end of the vocabulary are
+    broken by term, so it holds the same terms on any cluster.
+    """
+    counts = df.select(terms.explode_array(stage.getInputCol()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    top = written(counts.orderBy(F.col("n").desc(), "term").limit(stage.getVocabSize()).select("term"), "vocabulary")
+    return stage.fit(top.select(F.array("term").alias(stage.getInputCol())).coalesce(1))
+
+
 def fit_inputs(pipeline: Pipeline, df: DataFrame) -> DataFrame:
     """Rows of ``df`` whose text and (raw) label are not null."""
     needed = {s.getInputCol() for s in pipeline.getStages() if s.hasParam("inputCol") and s.getInputCol() in df.columns}
@@ -98,6 +127,19 @@ def fit_inputs(pipeline: Pipeline, df: DataFrame) -> DataFrame:
     return df.dropna(how="any", subset=sorted(needed))
 
 
+def _fit_features(stages: list, data: DataFrame) -> list:
+    """The fitted feature stages, as ``Pipeline.fit`` makes them."""
+    fitted = []
+    for stage in stages:
+        if isinstance(stage, CountVectorizer):
+            stage = fit_vocabulary(stage, data)
+        elif hasattr(stage, "fit"):
+            stage = stage.fit(data)
+        fitted.append(stage)
+        data = stage.transform(data)
+    return fitted
+
+
 def fit(pipeline: Pipeline, train: DataFrame, key: str) -> PipelineModel:
     """Fit feature stages, cut lineage, then fit the final estimator.
 
@@ -106,22 +148,31 @@ def fit(pipeline: Pipeline, train: DataFrame, key: str) -> PipelineModel:
     column metadata of its input. A reliable ``checkpoint`` of just the
     features and label (to the shared ``spark.checkpoint.dir``) cuts the
     one; the metadata, an attribute for each vocabulary term, is taken off
-    before it.
+    before it. The solver gets fewer, larger partitions than the feature
+    stages, see :func:`solver_layout`.
     """
     ensure_checkpoint_dir(train.sparkSession)
     stages = pipeline.getStages()
     estimator = stages[-1]
-    data = stable_input(fit_inputs(pipeline, train), key).persist()
+    inputs = fit_inputs(pipeline, train)
+    data = stable_input(inputs, key).persist()
+    n, depth = solver_layout(inputs)
     try:
-        features = Pipeline(stages=stages[:-1]).fit(data)
+        features = _fit_features(stages[:-1], data)
         vector = estimator.getFeaturesCol()
         cols = [F.col(vector).alias(vector, metadata={})]
         if estimator.hasParam("labelCol"):
             cols.append(F.col(estimator.getLabelCol()))
-        x = features.transform(data).select(*cols).checkpoint(eager=True)
+        x = PipelineModel(stages=features).transform(data)
+        if n < data.rdd.getNumPartitions():
+            x = x.select(F.col(key).alias("_key"), *cols).repartition(n, "_key").sortWithinPartitions("_key").drop("_key")
+        else:
+            x = x.select(*cols)
+        x = x.checkpoint(eager=True)
     finally:
         data.unpersist()
-    return PipelineModel(stages=list(features.stages) + [estimator.fit(x)])
+    settings = {estimator.aggregationDepth: depth} if estimator.hasParam("aggregationDepth") else {}
+    return PipelineModel(stages=features + [estimator.fit(x, settings)])
 
 
 def with_probabilities(pred: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -62,6 +63,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "starlens", *parts])
 
 
+def written(df, name: str):
+    """``df``, written once under the shared folder and read back."""
+    path = shared_path(df.sparkSession, name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 UNKNOWN_SIZE = 1 << 60  # Spark's stand-in for a source without statistics
 
 

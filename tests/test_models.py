@@ -73,3 +73,39 @@ def test_fit_drops_null_text_and_label(spark):
     models.fit(models.svm_trigram_pipeline(vocab_size=64, max_iter=2), raw, "doc_id")
     model = models.fit(models.kmeans_pipeline(k=2, num_features=64), df.drop("label").withColumn("label", F.lit(1.0)), "doc_id")
     assert models.assign_clusters(model, df, "doc_id").count() == 61
+
+
+def test_solver_sends_two_gradients_to_the_driver_whatever_the_size(spark, monkeypatch):
+    """MLlib's tree sums n partitions in levels of ceil(n ** (1 / depth)) until a level saves nothing."""
+    df, before = spark.range(1), 0
+    for gb in (0, 0.005, 0.1, 1, 6, 60, 600):
+        monkeypatch.setattr(models, "size_partitions", lambda _, target: max(1, math.ceil(gb * 4e9 / target)))
+        n, depth = models.solver_layout(df)
+        assert before <= n <= 2 + 3 * gb * 4e9 / models.SOLVER_BYTES  # no faster than the input
+        before = left = n
+        scale = max(2, math.ceil(n ** (1 / depth)))
+        while left > scale + math.ceil(left / scale):
+            left //= scale
+        assert left == min(2, n) and (n > 1 or gb < 0.01)
+
+
+def test_fit_runs_the_solver_on_its_own_partitions(spark, monkeypatch):
+    rows = [(i, f"good day {i % 7} x", float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    want = models.fit(models.lr_pipeline(num_features=64), df, "doc_id").stages[-1].coefficients.toArray()
+    seen = []
+    fit = models.LogisticRegression._fit
+    monkeypatch.setattr(models.LogisticRegression, "_fit", lambda self, x: seen.append((x.rdd.getNumPartitions(), self.getAggregationDepth())) or fit(self, x))
+    monkeypatch.setattr(models, "size_partitions", lambda _, target: 13 if target == models.FIT_BYTES else 5)
+    got = models.fit(models.lr_pipeline(num_features=64), df, "doc_id").stages[-1].coefficients.toArray()
+    assert seen == [(6, 2)]
+    assert got.tolist() == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_vocabulary_of_a_fit_breaks_ties_by_term(spark):
+    rows = [(i, ["often"] + [f"t{(i * 7 + k) % 50:02d}" for k in range(5)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, g array<string>").repartition(8, "id")
+    fitted = models.fit_vocabulary(models.CountVectorizer(inputCol="g", outputCol="n", vocabSize=11), df)
+    assert sorted(fitted.vocabulary) == ["often"] + [f"t{k:02d}" for k in range(10)]
+    counts = fitted.transform(df).select("n").first().n
+    assert counts.size == 11
