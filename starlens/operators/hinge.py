@@ -8,6 +8,12 @@ by term.  Both sums are partially aggregated; a term in a large share of the
 documents is salted in the join.  Each step's weights are written, which
 cuts the lineage and lets a lost executor's work be redone.
 
+Most terms of a corpus are held by one document only.  Such a term's weight
+moves with its document alone, so it is always the document's ``factor``
+times the term's tf-idf.  A document keeps that factor and its own terms' sum
+of squares; only terms of several documents are joined and shuffled in a
+step.  Margins are kept until the weights move.
+
 The objective is mean(max(0, 1 - y * w.x)) + reg / 2 * |w|^2 with y = 1 for
 the positive label and -1 for others; step t moves by ``step / sqrt(t)``
 along the subgradient of its batch.  A document's batch follows from its id,
@@ -18,7 +24,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.operators import terms
@@ -43,28 +49,54 @@ class WeightTable:
         rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(terms_col).alias("terms")).dropna()
         labels = self._save(rows.groupBy("id").agg(F.max(F.when(F.col("label") == F.lit(positive), 1.0).otherwise(-1.0)).alias("y")), "labels")
         self.n = labels.count()
-        tf = self._save(terms.term_frequencies(rows, "id", "terms"), "tf")
-        idf = self._save(terms.idf_table(tf, self.n).where(F.col("df") >= min_df), "idf")
-        self.hot = self._save(hot_keys(idf.select("term", "df"), "term", "df"), "hot")
-        pairs = terms.tfidf(tf, idf, "id", rows_per_salt=rows_per_salt)
-        vectors = pairs.groupBy("id").agg(F.collect_list(F.struct("term", F.col("tfidf").alias("value"))).alias("x"))
+        tf = terms.term_frequencies(rows, "id", "terms")
+        tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))).where(F.col("df") >= min_df)
+        idf = F.ln((F.lit(self.n) + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))
+        tf.select("id", "term", "df", (F.col("tf") * idf).alias("value"), (F.col("df") == 1).alias("own")).write.partitionBy("own").parquet(f"{self.root}/pairs")
+        pairs = self.spark.read.schema("id " + rows.schema["id"].dataType.simpleString() + ", term string, df bigint, value double, own boolean").parquet(f"{self.root}/pairs")
+        self.own, shared = pairs.where("own").select("id", "term", "value"), pairs.where(~F.col("own"))
+        counts = self._save(shared.groupBy("term").agg(F.first("df").alias("df")), "shared")
+        self.idf = counts.unionByName(self.own.select("term", F.lit(1).cast("long").alias("df"))).select("term", idf.alias("idf"))
+        self.hot = self._save(hot_keys(counts, "term", "df"), "hot")
+        vectors = shared.groupBy("id").agg(F.collect_list(F.struct("term", "value")).alias("x"))
+        squares = self.own.groupBy("id").agg(F.sum(F.col("value") * F.col("value")).alias("square"))
         batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
-        docs = labels.join(vectors, "id", "left").withColumn("batch", batch)
+        docs = labels.join(vectors, "id", "left").join(squares, "id", "left").withColumn("square", F.coalesce("square", F.lit(0.0)))
+        docs = docs.withColumn("batch", batch)
         docs.write.partitionBy("batch").parquet(f"{self.root}/docs")
         self.docs = self.spark.read.schema(docs.schema).parquet(f"{self.root}/docs")
-        self.weights = self.spark.createDataFrame([], "term string, weight double")
-        self.steps = 0
+        self.shared = self.spark.createDataFrame([], "term string, weight double")
+        self.factors = None  # (id, square, factor) after a step that moved any
+        self.steps, self._kept = 0, None
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    @property
+    def weights(self) -> DataFrame:
+        """``(term, weight)`` of all terms that a step moved."""
+        if self.factors is None:
+            return self.shared
+        own = self.own.join(self.factors.where(F.col("factor") != 0), "id").select("term", (F.col("value") * F.col("factor")).alias("weight"))
+        return self.shared.unionByName(own)
+
     def margins(self, docs: DataFrame) -> DataFrame:
         """``(id, y, margin)`` of documents under the present weights."""
+        if self.factors is None:
+            return docs.select("id", "y", F.lit(0.0).alias("margin"))
         pairs = docs.select("id", terms.explode_array("x").alias("p")).select("id", "p.term", "p.value")
-        hits = salted_join(pairs, self.weights, "term", self.hot, self.rows_per_salt, spread_cols=["id"])
+        hits = salted_join(pairs, self.shared, "term", self.hot, self.rows_per_salt, spread_cols=["id"])
         sums = hits.groupBy("id").agg(F.sum(F.col("value") * F.col("weight")).alias("margin"))
-        return docs.select("id", "y").join(sums, "id", "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)))
+        own = self.factors.select("id", (F.col("factor") * F.col("square")).alias("own"))
+        return docs.select("id", "y").join(sums, "id", "left").join(own, "id", "left").select(
+            "id", "y", (F.coalesce("margin", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))).alias("margin"))
+
+    def _margins(self) -> DataFrame:
+        """The margins of all documents, written once for the present weights."""
+        if self._kept is None:
+            self._kept = self._save(self.margins(self.docs), f"margins-{self.steps}")
+        return self._kept
 
     def step(self, size: float, reg: float) -> None:
         """One subgradient step on the next batch."""
@@ -74,18 +106,25 @@ class WeightTable:
         n = self.n if self.batches == 1 else batch.count()
         if not n:
             return
-        inside = self.margins(batch).where(F.col("y") * F.col("margin") < 1).select("id")
-        pairs = batch.join(inside, "id", "left_semi").select("y", terms.explode_array("x").alias("p"))
+        margins = self._margins() if self.batches == 1 or self._kept is not None else self.margins(batch)
+        inside = margins.where(F.col("y") * F.col("margin") < 1).select("id")
+        pulled = self._save(batch.join(inside, "id", "left_semi").select("id", "y"), f"pulled-{self.steps}")
+        pairs = batch.select("id", "y", "x").join(pulled.select("id"), "id", "left_semi").select("y", terms.explode_array("x").alias("p"))
         gradient = pairs.groupBy("p.term").agg((F.sum(F.col("y") * F.col("p.value")) / n).alias("pull"))
-        moved = self.weights.join(gradient, "term", "full").select(
+        moved = self.shared.join(gradient, "term", "full").select(
             "term", (F.coalesce("weight", F.lit(0.0)) * (1 - eta * reg) + F.coalesce("pull", F.lit(0.0)) * eta).alias("weight"))
-        self.weights = self._save(moved, f"weights-{self.steps}")
+        before = self.docs.select("id", "square", F.lit(0.0).alias("factor")) if self.factors is None else self.factors
+        turned = before.join(pulled, "id", "left").select(
+            "id", "square", (F.col("factor") * (1 - eta * reg) + F.coalesce("y", F.lit(0.0)) * (eta / n)).alias("factor"))
+        self.shared, self.factors, self._kept = self._save(moved, f"weights-{self.steps}"), self._save(turned, f"factors-{self.steps}"), None
 
     def report(self, reg: float) -> DataFrame:
         """``(step, n, inside, hinge, loss)`` of the present weights over all documents."""
-        norm = self.weights.agg(F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0))).scalar()
+        norm = self.shared.agg(F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0))).scalar()
+        if self.factors is not None:
+            norm = norm + self.factors.agg(F.coalesce(F.sum(F.col("factor") * F.col("factor") * F.col("square")), F.lit(0.0))).scalar()
         lack = F.greatest(F.lit(0.0), 1 - F.col("y") * F.col("margin"))
-        out = self.margins(self.docs).agg(F.count(F.lit(1)).alias("n"), F.count_if(lack > 0).alias("inside"), F.avg(lack).alias("hinge"))
+        out = self._margins().agg(F.count(F.lit(1)).alias("n"), F.count_if(lack > 0).alias("inside"), F.avg(lack).alias("hinge"))
         return out.select(F.lit(self.steps).alias("step"), "n", "inside", "hinge", (F.col("hinge") + norm * (reg / 2)).alias("loss"))
 
     def fit(self, steps: int, size: float = 1.0, reg: float = 0.3) -> WeightTable:
@@ -96,7 +135,7 @@ class WeightTable:
     def predict(self, rows: DataFrame, id_col: str, terms_col: str) -> DataFrame:
         """``(id, margin, prediction)`` of other documents, weighted by the idf learned."""
         tf = terms.term_frequencies(rows.select(F.col(id_col).alias("id"), F.col(terms_col).alias("terms")), "id", "terms")
-        known = self.weights.join(self.spark.read.parquet(f"{self.root}/idf").select("term", "idf"), "term")
+        known = self.weights.join(self.idf, "term")
         hits = salted_join(tf, known, "term", self.hot, self.rows_per_salt, spread_cols=["id"])
         sums = hits.groupBy("id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("margin"))
         ids = rows.select(F.col(id_col).alias("id")).distinct()

@@ -203,7 +203,8 @@ w0 AS (SELECT term, 0.0::DOUBLE AS w FROM i)"""]
 
 
 def _hinge(spark, d):
-    train = _split(spark, d, TRIGRAM_SEED)[0].withColumn("t", tokenize(clean.strip_punct("text")))
+    # by document before the texts grow into trigrams: counting them within a document moves nothing
+    train = _split(spark, d, TRIGRAM_SEED)[0].repartition("doc_id").withColumn("t", tokenize(clean.strip_punct("text")))
     grams = with_ngrams(train, "t", "g", 3)
     return hinge.WeightTable(grams.select("doc_id", "g", "label"), "doc_id", "g", "label")
 

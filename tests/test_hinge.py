@@ -88,3 +88,18 @@ def test_batches_empty_batches_and_salted_terms(spark):
     assert {r.term: r.weight for r in plain.weights.collect()} == pytest.approx({r.term: r.weight for r in table.weights.collect()})
     none = hinge.WeightTable(df.limit(0), "id", "g", "label").fit(2)
     assert none.weights.count() == 0 and none.top_terms(3).count() == 0
+
+
+def test_terms_of_one_document_stay_out_of_the_joins(spark):
+    """Their weights follow from their document's factor; all weights and losses are the plain loops'."""
+    rows = [(i, g + [f"only{i}", f"only{i}", f"lone{i}"], label) for i, g, label in small(30)] + [(70, ["just", "these"], 0.0), (71, [], 1.0)]
+    table = hinge.WeightTable(spark.createDataFrame(rows, SCHEMA), "id", "g", "label").fit(3, 0.5, 0.1)
+    w, losses = brute(rows, 3, 0.5, 0.1)
+    shared = {r.term for r in table.shared.collect()}
+    assert shared == {t for t in w if sum(t in g for _, g, _ in rows) > 1}
+    assert {r.term: r.weight for r in table.weights.collect()} == pytest.approx(w)
+    assert table.report(0.1).first().loss == pytest.approx(losses[-1])
+    out = {r.id: r.margin for r in table.predict(spark.createDataFrame([(1, ["only3", "just"], 1.0)], SCHEMA), "id", "g").collect()}
+    idf = math.log((len(rows) + 1) / 2)
+    assert out[1] == pytest.approx(idf * (w["only3"] + w["just"]))
+    assert table.report(0.1).first() == table.report(0.1).first() and table._kept is not None
