@@ -48,16 +48,34 @@ def merge_sketches(*sketches: DataFrame) -> DataFrame:
     return whole.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def _counted(df: DataFrame, id_col: str, terms_col: str, sketch: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """Exact ``(term, count, df)`` of all terms whose bucket reaches the threshold."""
+def heavy_pairs(pairs: DataFrame, sketch: DataFrame, threshold: int, buckets: int = BUCKETS, term: str = "term") -> DataFrame:
+    """Rows of ``pairs`` whose term's bucket reaches the threshold."""
     heavy = sketch.where(F.col("n") >= threshold).select("bucket")
-    pairs = df.select(id_col, explode_array(terms_col).alias("term"))
     # at most ``buckets`` integers
-    inside = pairs.withColumn("bucket", bucket_of("term", buckets)).join(F.broadcast(heavy), "bucket", "left_semi")
+    return pairs.withColumn("bucket", bucket_of(term, buckets)).join(F.broadcast(heavy), "bucket", "left_semi").drop("bucket")
+
+
+def _counted(df: DataFrame, id_col: str, terms_col: str, sketch: DataFrame, threshold: int, buckets: int) -> DataFrame:
+    """Exact ``(term, count, df)`` of all terms whose bucket reaches the threshold."""
+    inside = heavy_pairs(df.select(id_col, explode_array(terms_col).alias("term")), sketch, threshold, buckets)
     tf = inside.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     return term_document_stats(tf)
 
 
+def sure_threshold(df: DataFrame, terms_col: str, wanted: int, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+    """A sketch of ``df`` and a count that its ``wanted`` most frequent terms reach.
+
+    The exact count of the last of ``wanted`` terms, whichever they are, is
+    such a count; they are looked for in the heaviest buckets.
+    """
+    sketch = _written(frequency_sketch(df, terms_col, buckets), "sketch")
+    guess = sketch.orderBy(F.col("n").desc()).limit(2 * wanted).agg(F.min("n")).first()[0] or 1
+    some = heavy_pairs(df.select(explode_array(terms_col).alias("term")), sketch, guess, buckets)
+    counts = some.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).limit(wanted)
+    found, last = counts.agg(F.count(F.lit(1)), F.min("n")).first()
+    return sketch, last if found == wanted else 1
+
+
 def heavy_vocabulary(df: DataFrame, id_col: str, terms_col: str, vocab_size: int, min_df: int = 1,
                      buckets: int = BUCKETS, sketch: DataFrame | None = None) -> DataFrame:
     """The rows of ``terms.vocabulary``: top terms by count, ties by term, with count, df and rank.

@@ -46,7 +46,10 @@ def term_frequencies(df: DataFrame, id_col: str, terms_col, term: str = "term",
     When ``df`` is hash-partitioned by ``id_col`` (see ``tables.spread``)
     this aggregation needs no shuffle.
     """
-    pairs = term_pairs(df, id_col, terms_col, term, exclude)
+    return _counted(term_pairs(df, id_col, terms_col, term, exclude), id_col, term)
+
+
+def _counted(pairs: DataFrame, id_col: str, term: str) -> DataFrame:
     return pairs.groupBy(id_col, term).agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -56,7 +59,7 @@ def term_document_stats(tf: DataFrame, term: str = "term") -> DataFrame:
 
 
 def vocabulary(df: DataFrame, id_col: str, terms_col: str, vocab_size: int = 1 << 18,
-               min_df: float = 1.0, term: str = "term") -> DataFrame:
+               min_df: float = 1.0, term: str = "term", keep=None) -> DataFrame:
     """Top ``vocab_size`` terms by total count (ties by term), with their index.
 
     CountVectorizer's vocabulary has the same counts in the same order but
@@ -65,8 +68,11 @@ def vocabulary(df: DataFrame, id_col: str, terms_col: str, vocab_size: int = 1 <
 
     ``min_df`` >= 1 is a document count, below 1 a fraction of documents
     (CountVectorizer's rule).  The index is the rank in the vocabulary.
+    ``keep`` takes (id, term) pairs and leaves out terms that are known not
+    to be in the vocabulary (see ``heavy``), all pairs of a term or none.
     """
-    stats = term_document_stats(term_frequencies(df, id_col, terms_col, term), term)
+    pairs = term_pairs(df, id_col, terms_col, term)
+    stats = term_document_stats(_counted(keep(pairs) if keep else pairs, id_col, term), term)
     if min_df < 1.0:
         least = F.lit(min_df) * df.agg(F.count_distinct(id_col)).scalar()
     else:

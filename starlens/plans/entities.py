@@ -80,6 +80,14 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(read_table(spark, d, "documents", "doc_id", "text", "lang"), "doc_id")
 
 
+def texts_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, hash-partitioned by id: what is grouped by id and more later moves no further.
+
+    Whole texts are the smallest form to move; their terms are several times larger.
+    """
+    return read_table(spark, d, "documents", "doc_id", "text", "lang").repartition("doc_id")
+
+
 def labelled_texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a 0/1 quality label (double, as MLlib expects)."""
     docs = spread(read_table(spark, d, "documents", "doc_id", "text"), "doc_id")

@@ -135,8 +135,9 @@ def token_count(spark, d):
 
 
 # --- T3, T5: trigrams and vocabulary -------------------------------------------------
-def trigrams(spark, d):
-    toks = E.texts(spark, d).select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
+def trigrams(spark, d, by_id: bool = False):
+    docs = E.texts_by_id(spark, d) if by_id else E.texts(spark, d)
+    toks = docs.select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
     return text.with_ngrams(toks, "t", "g", 3).select("doc_id", "g")
 
 
@@ -162,7 +163,10 @@ SELECT term, count, df, CAST(row_number() OVER (ORDER BY count DESC, term) - 1 A
 
 @register("vocabulary_top", SQL_VOCABULARY)
 def vocabulary_top(spark, d):
-    return terms.vocabulary(trigrams(spark, d), "doc_id", "g", vocab_size=VOCAB_TOP)
+    # trigrams that a sketch rules out are left out before they are counted
+    sketch, least = heavy.sure_threshold(trigrams(spark, d), "g", VOCAB_TOP)
+    return terms.vocabulary(trigrams(spark, d, by_id=True), "doc_id", "g", vocab_size=VOCAB_TOP,
+                            keep=lambda pairs: heavy.heavy_pairs(pairs, sketch, least))
 
 
 @register("vocabulary_sketch", SQL_VOCABULARY)

@@ -78,3 +78,53 @@ def test_spread_only_when_scan_is_narrow(spark, sf_small):
     assert spread(wide, "doc_id") is wide
     narrow = docs.coalesce(1)
     assert spread(narrow, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def many_files(spark, scratch):
+    """Documents in more files than there are cores, some ids twice or null."""
+    rows = [(i % 55 if i % 20 else None, " ".join(f"w{(i * k) % 17}" for k in range(1, 30)) + f" only{i} of it", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(9)
+    df.write.parquet(f"{scratch}/documents.parquet")
+    return rows
+
+
+def test_trigrams_of_large_tables_are_counted_where_their_document_lies(spark, scratch, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from starlens.operators import terms
+    from starlens.plans import text
+
+    many_files(spark, scratch)
+    monkeypatch.setattr(text, "VOCAB_TOP", 40)
+    before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = entry.queries()["vocabulary_top"](spark, scratch)
+        p = plan(got)
+        assert "hashpartitioning(doc_id#" in p and "hashpartitioning(term#" in p
+        assert not [x for x in p.splitlines() if "hashpartitioning(doc_id#" in x and "term#" in x.split("hashpartitioning", 1)[1]]
+        assert "bucket" in p  # trigrams too rare for the list are not counted
+        want = terms.vocabulary(text.trigrams(spark, scratch), "doc_id", "g", vocab_size=40)
+        assert got.orderBy("vocab_index").collect() == want.orderBy("vocab_index").collect()
+        top = entry.queries()["tfidf_top_per_doc"](spark, scratch)
+        assert "ExistingRDD" not in plan(top)  # terms are written as columns, not as a checkpoint of rows
+        tf, idf = text._tf_idf(spark, scratch)
+        again = terms.top_terms_per_doc(terms.tfidf(tf, idf, "doc_id"), "doc_id", "tfidf", 5)
+        again = again.select("doc_id", "term", "tf", F.round("tfidf", 6).alias("tfidf"), "rank")
+        assert sorted(map(str, top.collect())) == sorted(map(str, again.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
+
+
+def test_sure_threshold_is_reached_by_the_wanted_terms(spark):
+    from starlens.operators import heavy
+
+    df = spark.createDataFrame([(i, [f"t{k}" for k in range(i % 30)]) for i in range(120)], "id long, g array<string>")
+    for buckets in (1, 7, heavy.BUCKETS):
+        for wanted in (1, 5, 29, 30):
+            _, least = heavy.sure_threshold(df, "g", wanted, buckets)
+            counts = sorted((4 * (29 - k) for k in range(29)), reverse=True)
+            assert least <= (counts[wanted - 1] if wanted <= 29 else 1)
+            assert wanted > 29 or least >= 1
