@@ -8,6 +8,7 @@ from starlens.functions import clean, text
 from starlens.operators import heavy, profile, terms
 from starlens.plans import entities as E
 from starlens.plans.registry import register
+from starlens.session import written
 from starlens.sources.tables import read_table
 
 R6 = 6
@@ -183,15 +184,15 @@ SQL_IDF = f"""(SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents)
 
 
 def _tf_idf(spark, d, once: bool = False):
-    docs = E.texts(spark, d)
+    docs = E.texts_by_id(spark, d) if once else E.texts(spark, d)
     toks = docs.select("doc_id", text.tokenize(clean.strip_punct("text")).alias("t"))
     tf = terms.term_frequencies(toks, "doc_id", "t", exclude=text.STOP_WORDS_EN)
     if once:
-        tf = tf.checkpoint()
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+        tf = written(tf, "tf")
+    n_docs = read_table(spark, d, "documents", "doc_id").agg(F.count(F.lit(1))).scalar()
     idf = terms.idf_table(tf, n_docs)
     # idf (one row per term) feeds the small side, the hot-key list and its total
-    return tf, (idf.checkpoint() if once else idf)
+    return tf, (written(idf, "idf") if once else idf)
 
 
 @register("idf_terms", f"SELECT term, df, round(idf, {R6}) AS idf FROM {SQL_IDF}")
