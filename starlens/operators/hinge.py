@@ -95,7 +95,7 @@ class WeightTable:
     def _margins(self) -> DataFrame:
         """The margins of all documents, written once for the present weights."""
         if self._kept is None:
-            self._kept = self._save(self.margins(self.docs), f"margins-{self.steps}")
+            self._kept = self._save(self.margins(self.docs), f"margins-{uuid.uuid4().hex}")
         return self._kept
 
     def step(self, size: float, reg: float) -> None:
